@@ -233,12 +233,12 @@ WHERE issue_year IN ('1996', '1997', '1998', '1999') GROUP BY issue_year, applic
         LOANS,
         f"""SELECT {big('id', 'id')}, {_YEAR} AS issue_year,
   CASE {_GROUP} WHEN 'completed' THEN 'Completed' WHEN 'in_progress' THEN 'In progress' ELSE 'Other' END AS status_label,
-  CAST({_LABEL} AS DOUBLE) AS default_prelim, {big(_LONG, 'term_60')},
+  CAST({_LABEL} AS DOUBLE) AS default_prelim, {six(_LONG, 'term_60')},
   CASE {_LONG} WHEN 0 THEN '36 months' WHEN 1 THEN '60 months' END AS term_label FROM loans""",
     ),
     "cohort_rows": query(
         COHORT,
-        f"""SELECT {big('id', 'id')}, issue_year, {big('"default"', '"default"')}, {big('term_60', 'term_60')}, grade, {six('loan_amnt', 'loan_amnt')},
+        f"""SELECT {big('id', 'id')}, issue_year, {big('"default"', '"default"')}, {six('term_60', 'term_60')}, grade, {six('loan_amnt', 'loan_amnt')},
   {six('int_rate', 'int_rate')}, {six('annual_inc', 'annual_inc')}, {six('dti', 'dti')} FROM cohort""",
     ),
     "cohort_prefix_option": query(
@@ -261,7 +261,7 @@ UNION ALL SELECT 'labelled', count(*), 28 FROM labelled UNION ALL SELECT 'cohort
     ),
     "rate_by_grade_term": query(
         COHORT,
-        f"""SELECT grade, {big('term_60', 'term_60')}, {_RATES},
+        f"""SELECT grade, {six('term_60', 'term_60')}, {_RATES},
   CASE term_60 WHEN 0 THEN '36 months' WHEN 1 THEN '60 months' END AS term_label FROM cohort GROUP BY grade, term_60""",
     ),
     "rate_by_int_bin": query(
@@ -274,7 +274,7 @@ UNION ALL SELECT 'labelled', count(*), 28 FROM labelled UNION ALL SELECT 'cohort
     ),
     "risk_surface": query(
         BANDED,
-        f"""SELECT grade, fico_bin, {big('term_60', 'term_60')}, {_RATES},
+        f"""SELECT grade, fico_bin, {six('term_60', 'term_60')}, {_RATES},
   CASE term_60 WHEN 0 THEN '36-month loans' WHEN 1 THEN '60-month loans' END AS term_label
 FROM banded WHERE fico_bin IS NOT NULL GROUP BY grade, fico_bin, term_60""",
     ),
@@ -319,9 +319,9 @@ steps AS (SELECT 1 AS step, n1 AS n_rows, 25 AS n_cols FROM sizes UNION ALL SELE
   UNION ALL SELECT 3, n3, 30 FROM sizes UNION ALL SELECT 4, n4, 30 FROM sizes UNION ALL SELECT 5, n4, 23 FROM sizes
   UNION ALL SELECT 6, n4, 24 FROM sizes UNION ALL SELECT 7, n4, 3 + k FROM sizes)""",
         """SELECT CAST(step AS BIGINT) AS step, CAST(n_rows AS BIGINT) AS n_rows,
-  CAST(greatest(0, lag(n_rows) OVER w - n_rows) * CASE WHEN step > 1 THEN 1 END AS BIGINT) AS rows_removed, CAST(n_cols AS BIGINT) AS n_cols,
-  CAST(greatest(0, lag(n_cols) OVER w - n_cols) * CASE WHEN step > 1 THEN 1 END AS BIGINT) AS cols_dropped,
-  CAST(greatest(0, n_cols - lag(n_cols) OVER w) * CASE WHEN step > 1 THEN 1 END AS BIGINT) AS cols_added
+  CAST(greatest(0, lag(n_rows) OVER w - n_rows) * CASE WHEN step > 1 THEN 1 END AS DOUBLE) AS rows_removed, CAST(n_cols AS BIGINT) AS n_cols,
+  CAST(greatest(0, lag(n_cols) OVER w - n_cols) * CASE WHEN step > 1 THEN 1 END AS DOUBLE) AS cols_dropped,
+  CAST(greatest(0, n_cols - lag(n_cols) OVER w) * CASE WHEN step > 1 THEN 1 END AS DOUBLE) AS cols_added
 FROM steps WINDOW w AS (ORDER BY step)""",
     ),
     "quantile75": query(

@@ -10,7 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanvane.functions.keys import RandomKey
-from loanvane.functions.names import columns_to_drop, numeric_columns, string_columns
+from loanvane.functions.names import (
+    CATEGORICAL_SHORTLIST,
+    NUMERIC_SHORTLIST,
+    columns_to_drop,
+    intersect,
+    numeric_columns,
+    string_columns,
+)
 from loanvane.models import linear, trees
 from loanvane.models.dml import DEFAULT_ALPHA, estimate_effect, high_rate_threshold, with_high_rate
 from loanvane.operators import oob as oob_ops
@@ -29,6 +36,7 @@ from loanvane.operators.profile import (
 )
 from loanvane.operators.sampling import stratified_sample, train_test_flag, with_folds
 from loanvane.operators.scores import long_scores, rank_models, score_metrics
+from loanvane.runtime import small_table, stage_table
 
 TARGET_ROWS = 120_000
 
@@ -85,6 +93,12 @@ def stage_counts(loans: DataFrame, years: Sequence[str], target_rows: int | None
     }
 
 
+def feature_columns(base: DataFrame) -> list[str]:
+    """Columns the study uses: key, labels and the shortlist with the score bounds."""
+    lead = ["id", "default", "term_60", "issue_year"]
+    return intersect(lead + NUMERIC_SHORTLIST + CATEGORICAL_SHORTLIST, base.columns)
+
+
 def features_of(sample: DataFrame) -> DataFrame:
     """Leakage-free columns with the score midpoint and lumped purposes."""
     features = add_score_midpoint(drop_screened(sample))
@@ -106,13 +120,14 @@ def build_modelling_data(
     cohort = select_cohort(labelled, years)
     sample = stratified_sample(cohort, fraction=counts["share"], key=key)
     base = drop_screened(sample)
-    features = features_of(sample)
-    profile = predictor_profile(features)
+    # One pass over the raw loans: every later step reads this narrow table.
+    features = features_of(stage_table(base.select(*feature_columns(base)), "cohort"))
+    profile = small_table(predictor_profile(features))
     table = modelling_table(features, final_predictors(profile))
-    keyless = lambda df: len(df.columns) - ("id" in df.columns)
     rows = [counts["raw"], counts["year"], counts["cohort"]] + [counts["sample"]] * 4
     cols = [len(loans.columns), len(labelled.columns), len(cohort.columns), len(sample.columns)]
-    cols += [keyless(base), keyless(features), keyless(table)]
+    n_base = len(base.columns) - ("id" in base.columns)
+    cols += [n_base, n_base + ("fico_avg" in features.columns), len(table.columns) - 1]
     steps = [(i + 1, a, r, c, n) for i, ((a, n), r, c) in enumerate(zip(AUDIT_STEPS, rows, cols))]
     schema = "step int, action string, n_rows long, n_cols long, notes string"
     return ModellingData(table, profile, audit_trail(loans.sparkSession.createDataFrame(steps, schema)))
@@ -146,6 +161,7 @@ def compare_models(
     data: SplitData,
     alphas: Sequence[float] = linear.ALPHAS,
     path_length: int = linear.PATH_LENGTH,
+    path_ratio: float = linear.PATH_RATIO,
     bag_trees: int = trees.BAG_TREES,
     vote_trees: int = trees.VOTE_TREES,
     forest_trees: int = trees.FOREST_TREES,
@@ -170,7 +186,7 @@ def compare_models(
     x_train = design.transform(with_folds(data.train, key=fold_key), keep=["id", "default", "fold"]).persist(keep)
     x_test = design.transform(data.test).persist(keep)
     logit = linear.fit_logit(x_train)
-    penalties = linear.tune(x_train, alphas=alphas, path_length=path_length, parallelism=parallelism)
+    penalties = linear.tune(x_train, "default", alphas, path_length, path_ratio, parallelism=parallelism)
     by_alpha = linear.fit_alphas(x_train, penalties, parallelism=parallelism)
     grid = linear.grid_table(penalties, score_metrics(linear.alpha_scores(by_alpha, penalties, x_test)))
     penalty = linear.choose(grid)
@@ -233,6 +249,7 @@ def estimate_effects(
     data: SplitData,
     alpha: float = DEFAULT_ALPHA,
     path_length: int = linear.PATH_LENGTH,
+    path_ratio: float = linear.PATH_RATIO,
     defensible: bool = False,
     key: RandomKey | None = None,
     parallelism: int = 8,
@@ -246,7 +263,8 @@ def estimate_effects(
     for treatment, source in (("term_60", ["term"]), ("high_rate", ["int_rate"])):
         result = estimate_effect(
             marked, data.imputer, data.numeric, data.categorical, treatment,
-            exclude=source if defensible else (), alpha=alpha, path_length=path_length, key=key, parallelism=parallelism,
+            exclude=source if defensible else (), alpha=alpha, path_length=path_length, path_ratio=path_ratio, key=key,
+            parallelism=parallelism,
         )
         parts.append(effect_rows(treatment, result.naive, result.estimate))
     return effect_table(parts)
