@@ -32,7 +32,7 @@ from loanvane.sources.loan_view import (
     TIE_KEY,
     VIEW_MIN_BIN_ROWS,
     VIEW_YEARS,
-    loan_view,
+    loan_table,
 )
 
 SAMPLE_FRACTION = 0.6
@@ -69,11 +69,11 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def loans_of(spark: SparkSession, sf: str) -> DataFrame:
-    return loan_view(spark, sf)
+    return loan_table(spark, sf)
 
 
 def labelled_of(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort_ops.label_loans(loan_view(spark, sf))
+    return cohort_ops.label_loans(loan_table(spark, sf))
 
 
 def cohort_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +123,7 @@ def nuisances_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def study_split(spark: SparkSession, sf: str) -> loan_study.SplitData:
-    data = loan_study.build_modelling_data(loan_view(spark, sf), VIEW_YEARS)
+    data = loan_study.build_modelling_data(loan_table(spark, sf), VIEW_YEARS)
     return loan_study.split_and_impute(data.table, key=SPLIT_KEY)
 
 
@@ -280,7 +280,7 @@ def final_predictors(spark, sf):
 
 
 def audit_trail(spark, sf):
-    audit = loan_study.build_modelling_data(loan_view(spark, sf), VIEW_YEARS, target_rows=loan_study.TARGET_ROWS).audit
+    audit = loan_study.build_modelling_data(loan_table(spark, sf), VIEW_YEARS, target_rows=loan_study.TARGET_ROWS).audit
     return rounded(audit.drop("action", "notes"))
 
 

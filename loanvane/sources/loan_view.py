@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loanvane.functions.keys import RandomKey
+from loanvane.runtime import stage_table
 
 # Issue years of the stand-in book that take the place of the cohort years.
 VIEW_YEARS = ["1996", "1997", "1998", "1999"]
@@ -73,4 +74,22 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loans built from the parquet tables in ``sf_dir``."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "lineitem")}
     text = LOAN_SQL.replace("{issue_d}", "date_format(o_orderdate, 'MMM-yyyy')")
-    return spark.sql(f"WITH {text} SELECT * FROM loans", **tables)
+    loans = spark.sql(f"WITH {text} SELECT * FROM loans", **tables)
+    # The join keeps the partitions of the order scan; spread a scan of few files over the cores.
+    cores = spark.sparkContext.defaultParallelism
+    return loans.repartition(cores) if len(tables["orders"].inputFiles()) < cores else loans
+
+
+_staged: dict[tuple[str, str], DataFrame] = {}
+
+
+def loan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loan view as a stored table, built once per application and directory.
+
+    A loan book is stored loan by loan; joining it from orders again for every query would
+    only measure the stand-in, and keeps filters on loan columns from reaching a scan.
+    """
+    where = (spark.sparkContext.applicationId, sf_dir)
+    if where not in _staged:
+        _staged[where] = stage_table(loan_view(spark, sf_dir), "loans")
+    return _staged[where]
