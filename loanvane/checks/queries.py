@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -504,7 +503,7 @@ def design_matrix(spark, sf):
 
 def logit(spark, sf):
     data = study_split(spark, sf)
-    train = data.design.transform(data.train).persist(StorageLevel.MEMORY_AND_DISK)
+    train = loan_study.packed(data.design.transform(data.train), data.rows)
     fitted = linear.fit_logit(train)
     return linear.score(fitted, data.design.transform(data.test), "p_hat").drop("features")
 
@@ -512,7 +511,7 @@ def logit(spark, sf):
 def enet_grid(spark, sf):
     data = study_split(spark, sf)
     folded = sampling.with_folds(data.train, key=FOLD_KEY)
-    train = data.design.transform(folded, keep=["id", "default", "fold"]).persist(StorageLevel.MEMORY_AND_DISK)
+    train = loan_study.packed(data.design.transform(folded, keep=["id", "default", "fold"]), data.rows)
     penalties = linear.tune(
         train, alphas=STUDY["alphas"], path_length=STUDY["path_length"], path_ratio=STUDY["path_ratio"]
     )
@@ -524,14 +523,14 @@ def enet_grid(spark, sf):
 def cart(spark, sf):
     data = study_split(spark, sf)
     design = data.tree_design
-    fitted = trees.fit_cart(design.transform(data.train), design.max_bins)
+    fitted = trees.fit_cart(loan_study.packed(design.transform(data.train), data.rows), design.max_bins)
     return linear.score(fitted, design.transform(data.test), "p_hat").drop("features")
 
 
 def _bag(spark, sf, depth):
     data = study_split(spark, sf)
     design = data.tree_design
-    train = design.transform(data.train).persist(StorageLevel.MEMORY_AND_DISK)
+    train = loan_study.packed(design.transform(data.train), data.rows)
     grown = trees.fit_bag(train, STUDY["bag_trees"], 7, max_bins=design.max_bins, max_depth=depth, parallelism=6)
     return data, design, train, grown
 
@@ -550,7 +549,7 @@ def forest(spark, sf):
     data = study_split(spark, sf)
     design = data.tree_design
     mtry = str(trees.default_mtry(len(design.names)))
-    train = design.transform(data.train, nominal=False)
+    train = loan_study.packed(design.transform(data.train, nominal=False), data.rows)
     fitted = trees.fit_forest(train, STUDY["forest_trees"], mtry, design.max_bins, STUDY["max_depth"])
     return trees.importance_table(fitted, design.names, spark)
 

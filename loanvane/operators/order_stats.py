@@ -95,8 +95,9 @@ def exact_quantiles(
     A mergeable sketch first brackets each quantile; one aggregate then counts distinct
     values inside the bracket, everything below it collapsing into one count. Memory and
     shuffle stay at the size of the brackets, not of the distinct values of the columns.
-    Groups of up to ``bracket_above`` values need no bracket. A bracket that missed its
-    quantile, which the sketch's error bound rules out, would raise.
+    Groups of up to ``bracket_above`` values need no bracket, and no sketch is built when all
+    are that small. A bracket that missed its quantile, which the sketch's error bound
+    rules out, would raise.
     """
     by = list(by)
     margin = 10.0 / accuracy
@@ -107,27 +108,37 @@ def exact_quantiles(
     )
     group = [*by, "variable"]
     ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = long.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-        F.percentile_approx("value", [float(e) for e in ends], accuracy).alias("ends"),
-    )
-    wide = F.col("n") > bracket_above
+    sizes = small_table(long.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
+    whole = (F.lit(float("-inf")), F.lit(float("inf")))
+    if sizes.filter(F.col("n") > bracket_above).isEmpty():
+        found, bounds = sizes, lambda i: whole
+    else:
+        sketch = long.groupBy(*group).agg(
+            F.percentile_approx("value", [float(e) for e in ends], accuracy).alias("ends")
+        )
+        found = null_safe_join(sizes, sketch, group)
+        wide = F.col("n") > bracket_above
+
+        def bounds(i: int) -> tuple[Column, Column]:
+            first, last = probs[i] - margin <= 0, probs[i] + margin >= 1
+            low = whole[0] if first else F.when(wide, F.get("ends", F.lit(2 * i))).otherwise(whole[0])
+            high = whole[1] if last else F.when(wide, F.get("ends", F.lit(2 * i + 1))).otherwise(whole[1])
+            return low, high
+
     prob_rows = F.explode(
         F.array(
             *[
                 F.struct(
                     F.lit(float(p)).alias("prob"),
                     (F.lit(float(p)) * (F.col("n") - 1)).alias("place"),
-                    (F.col("least") if p - margin <= 0 else F.when(wide, F.get("ends", F.lit(2 * i))).otherwise(F.col("least"))).alias("low"),
-                    (F.col("most") if p + margin >= 1 else F.when(wide, F.get("ends", F.lit(2 * i + 1))).otherwise(F.col("most"))).alias("high"),
+                    bounds(i)[0].alias("low"),
+                    bounds(i)[1].alias("high"),
                 )
                 for i, p in enumerate(probs)
             ]
         )
     )
-    brackets = small_table(sketch.select(*group, prob_rows.alias("b")).select(*group, "b.*"))
+    brackets = small_table(found.select(*group, prob_rows.alias("b")).select(*group, "b.*"))
     inside = null_safe_join(long, brackets, group).filter(F.col("value") <= F.col("high"))
     clipped = F.when(F.col("value") < F.col("low"), F.lit(float("-inf"))).otherwise(F.col("value"))
     counts = (

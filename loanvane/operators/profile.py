@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,35 +57,50 @@ def add_score_band(df: DataFrame) -> DataFrame:
     return df.withColumn("fico_bin", band(F.col("fico_avg")))
 
 
-def lump_rare(df: DataFrame, column: str, min_share: float = RARE_SHARE, other: str = "other") -> DataFrame:
+def lump_rare(
+    df: DataFrame, column: str, min_share: float = RARE_SHARE, other: str = "other", rows: int | None = None
+) -> DataFrame:
     """Replace levels below ``round(min_share * rows)`` rows by ``other``; missing stays missing.
 
     Levels kept number at most about 1 / ``min_share``, so the list of kept levels is small
-    however many levels the column has.
+    however many levels the column has. ``rows`` saves a count where it is known.
     """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    least = counts.agg(F.bround(F.sum("n") * F.lit(float(min_share)), 0).alias("least"))
-    floor = bounded_rows(least, 1)[0]["least"] or 0
-    kept = [
-        r[column]
-        for r in bounded_rows(counts.filter((F.col("n") >= floor) & F.col(column).isNotNull()).select(column))
-    ]
+    least = F.bround(F.lit(rows if rows is not None else df.count()) * F.lit(float(min_share)), 0)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    kept = [r[column] for r in bounded_rows(counts.filter(F.col("n") >= least).select(column))]
     value = F.col(column)
     return df.withColumn(column, F.when(value.isNull() | value.isin(kept), value).otherwise(F.lit(other)))
 
 
-def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(variable, prop_na)`` from one aggregate over all columns."""
+def column_profile(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
+    """``(variable, prop_na, sd)`` of all columns from one aggregate; ``sd`` of numeric ones only.
+
+    Standard deviations are sample ones and skip missing values.
+    """
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    wide = df.agg(*[F.avg(is_missing(F.col(c), c in floats).cast("int")).alias(c) for c in columns])
-    return wide.unpivot([], list(columns), "variable", "prop_na")
+    none = F.lit(None).cast("double")
+    columns, is_number = [*numeric, *categorical], set(numeric)
+
+    def entry(c: str) -> Column:
+        value = F.col(c)
+        present = F.nanvl(value.cast("double"), none) if c in floats else value.cast("double")
+        return F.struct(
+            F.lit(c).alias("variable"),
+            F.avg(is_missing(value, c in floats).cast("int")).alias("prop_na"),
+            (F.stddev_samp(present) if c in is_number else none).alias("sd"),
+        )
+
+    return df.agg(F.array(*[entry(c) for c in columns]).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
+def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(variable, prop_na)``."""
+    return column_profile(df, [], columns).select("variable", "prop_na")
 
 
 def spread_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(variable, sd)``: sample standard deviation, missing values skipped."""
-    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-    wide = df.agg(*[F.stddev_samp(value(c)).alias(c) for c in columns])
-    return wide.unpivot([], list(columns), "variable", "sd")
+    """``(variable, sd)``."""
+    return column_profile(df, columns).select("variable", "sd")
 
 
 def dominance_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -106,13 +121,13 @@ def predictor_profile(df: DataFrame) -> DataFrame:
     Emits ``(position, variable, kind, prop_na, sd, max_prop, keep)`` in shortlist order.
     """
     numeric, categorical = numeric_candidates(df.columns), categorical_candidates(df.columns)
-    kinds = [(i, n, "numeric" if n in set(numeric) else "categorical") for i, n in enumerate(numeric + categorical)]
-    base = df.sparkSession.createDataFrame(kinds, "position int, variable string, kind string")
-    out = base.join(missing_profile(df, numeric + categorical), "variable", "left")
-    if numeric:
-        out = out.join(spread_profile(df, numeric), "variable", "left")
-    else:
-        out = out.withColumn("sd", F.lit(None).cast("double"))
+    names = F.array(*[F.lit(n) for n in numeric + categorical])
+    out = column_profile(df, numeric, categorical).withColumns(
+        {
+            "position": F.array_position(names, F.col("variable")).cast("int") - 1,
+            "kind": F.when(F.col("variable").isin(numeric), "numeric").otherwise("categorical"),
+        }
+    )
     if categorical:
         out = out.join(dominance_profile(df, categorical), "variable", "left")
     else:

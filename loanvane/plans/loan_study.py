@@ -39,6 +39,7 @@ from loanvane.operators.scores import long_scores, rank_models, score_metrics
 from loanvane.runtime import small_table, stage_table
 
 TARGET_ROWS = 120_000
+ROWS_PER_TASK = 50_000
 
 # Wording of the audit trail.
 AUDIT_STEPS = [
@@ -57,6 +58,7 @@ class ModellingData:
     table: DataFrame
     profile: DataFrame
     audit: DataFrame
+    rows: int
 
 
 @dataclass(frozen=True)
@@ -68,6 +70,7 @@ class SplitData:
     imputer: Imputer
     numeric: list[str]
     categorical: list[str]
+    rows: int
 
     @property
     def design(self) -> Design:
@@ -99,10 +102,19 @@ def feature_columns(base: DataFrame) -> list[str]:
     return intersect(lead + NUMERIC_SHORTLIST + CATEGORICAL_SHORTLIST, base.columns)
 
 
-def features_of(sample: DataFrame) -> DataFrame:
+def features_of(sample: DataFrame, rows: int | None = None) -> DataFrame:
     """Leakage-free columns with the score midpoint and lumped purposes."""
     features = add_score_midpoint(drop_screened(sample))
-    return lump_rare(features, "purpose") if "purpose" in features.columns else features
+    return lump_rare(features, "purpose", rows=rows) if "purpose" in features.columns else features
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """Cached in partitions of at least ``ROWS_PER_TASK`` rows.
+
+    Fits make hundreds of passes; with few rows the tasks of a pass cost more than its work.
+    Large tables have fewer, larger partitions already and stay as they are.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def build_modelling_data(
@@ -121,7 +133,7 @@ def build_modelling_data(
     sample = stratified_sample(cohort, fraction=counts["share"], key=key)
     base = drop_screened(sample)
     # One pass over the raw loans: every later step reads this narrow table.
-    features = features_of(stage_table(base.select(*feature_columns(base)), "cohort"))
+    features = features_of(stage_table(base.select(*feature_columns(base)), "cohort"), counts["sample"])
     profile = small_table(predictor_profile(features))
     table = modelling_table(features, final_predictors(profile))
     rows = [counts["raw"], counts["year"], counts["cohort"]] + [counts["sample"]] * 4
@@ -130,7 +142,8 @@ def build_modelling_data(
     cols += [n_base, n_base + ("fico_avg" in features.columns), len(table.columns) - 1]
     steps = [(i + 1, a, r, c, n) for i, ((a, n), r, c) in enumerate(zip(AUDIT_STEPS, rows, cols))]
     schema = "step int, action string, n_rows long, n_cols long, notes string"
-    return ModellingData(table, profile, audit_trail(loans.sparkSession.createDataFrame(steps, schema)))
+    audit = audit_trail(loans.sparkSession.createDataFrame(steps, schema))
+    return ModellingData(table, profile, audit, counts["sample"])
 
 
 def split_and_impute(
@@ -140,10 +153,11 @@ def split_and_impute(
     banded = add_score_band(table) if use_score_band else table
     typed = banded.withColumns({c: F.col(c).cast("int") for c in ("default", "term_60")})
     split = train_test_flag(typed, fraction=fraction, key=key).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = split.count()
     train, test = split.filter("is_train"), split.filter("not is_train")
     imputer = fit_imputer(train)
     numeric, categorical = numeric_columns(split, NOT_PREDICTORS), string_columns(split, NOT_PREDICTORS)
-    return SplitData(imputer.transform(train), imputer.transform(test), imputer, numeric, categorical)
+    return SplitData(imputer.transform(train), imputer.transform(test), imputer, numeric, categorical, rows)
 
 
 @dataclass(frozen=True)
@@ -183,8 +197,9 @@ def compare_models(
     depth = lambda d: min(d, max_depth) if max_depth else d
     bins = tree_design.max_bins
 
-    x_train = design.transform(with_folds(data.train, key=fold_key), keep=["id", "default", "fold"]).persist(keep)
-    x_test = design.transform(data.test).persist(keep)
+    folded = with_folds(data.train, key=fold_key)
+    x_train = packed(design.transform(folded, keep=["id", "default", "fold"]), data.rows)
+    x_test = packed(design.transform(data.test), data.rows)
     logit = linear.fit_logit(x_train)
     penalties = linear.tune(x_train, "default", alphas, path_length, path_ratio, parallelism=parallelism)
     by_alpha = linear.fit_alphas(x_train, penalties, parallelism=parallelism)
@@ -192,14 +207,14 @@ def compare_models(
     penalty = linear.choose(grid)
     enet = by_alpha[[p.alpha for p in penalties].index(penalty.alpha)]
 
-    t_train = tree_design.transform(data.train).persist(keep)
-    t_test = tree_design.transform(data.test).persist(keep)
+    t_train = packed(tree_design.transform(data.train), data.rows)
+    t_test = packed(tree_design.transform(data.test), data.rows)
     cart = trees.fit_cart(t_train, bins, depth(trees.CART_DEPTH), cart_leaf)
     bag = trees.fit_bag(t_train, bag_trees, seed + 6, "all", bins, depth(trees.BAG_DEPTH), bag_leaf, parallelism=parallelism)
     vote = trees.fit_bag(
         t_train, vote_trees, seed + 7, "all", bins, depth(trees.VOTE_DEPTH), bag_leaf, parallelism=parallelism
     )
-    o_train = tree_design.transform(data.train, nominal=False).persist(keep)
+    o_train = packed(tree_design.transform(data.train, nominal=False), data.rows)
     o_test = tree_design.transform(data.test, nominal=False)
     mtry = str(trees.default_mtry(len(predictors)))
     forest = trees.fit_forest(o_train, forest_trees, mtry, bins, depth(trees.FOREST_DEPTH), forest_leaf, seed=seed + 8)
@@ -263,7 +278,7 @@ def estimate_effects(
     for treatment, source in (("term_60", ["term"]), ("high_rate", ["int_rate"])):
         result = estimate_effect(
             marked, data.imputer, data.numeric, data.categorical, treatment,
-            exclude=source if defensible else (), alpha=alpha, path_length=path_length, path_ratio=path_ratio, key=key,
+            exclude=source if defensible else (), tasks=-(-data.rows // ROWS_PER_TASK), alpha=alpha, path_length=path_length, path_ratio=path_ratio, key=key,
             parallelism=parallelism,
         )
         parts.append(effect_rows(treatment, result.naive, result.estimate))
