@@ -3,7 +3,7 @@
 Three building blocks:
 
 * ``rank_cuts``: the row at given ranks of a random order, by counting slots first.
-* ``exact_quantiles``: type-7 quantiles, by bracketing with a sketch and counting inside.
+* ``exact_quantiles``: type-7 quantiles, by narrowing intervals and counting inside.
 * ``running_totals``: prefix sums over an ordered group, by buckets with offsets.
 """
 
@@ -21,8 +21,10 @@ from loanvane.runtime import bounded_rows, small_table
 
 HISTOGRAM_SLOTS = 8192
 ROWS_PER_BUCKET = 1_000_000
-SKETCH_ACCURACY = 100_000
-BRACKET_ABOVE = 1_000_000
+MAX_BUCKETS = 4096
+NARROW_ABOVE = 1_000_000
+NARROWING_CELLS = 4096
+MAX_NARROWINGS = 8
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -87,80 +89,80 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    accuracy: int = SKETCH_ACCURACY,
-    bracket_above: int = BRACKET_ABOVE,
+    narrow_above: int = NARROW_ABOVE,
+    cells: int = NARROWING_CELLS,
 ) -> DataFrame:
     """Exact type-7 quantiles as ``by..., variable, prob, value``; NULL and NaN are skipped.
 
-    A mergeable sketch first brackets each quantile; one aggregate then counts distinct
-    values inside the bracket, everything below it collapsing into one count. Memory and
-    shuffle stay at the size of the brackets, not of the distinct values of the columns.
-    Groups of up to ``bracket_above`` values need no bracket, and no sketch is built when all
-    are that small. A bracket that missed its quantile, which the sketch's error bound
-    rules out, would raise.
+    Values are counted one by one only inside an interval known to hold the quantile. While
+    an interval holds more than ``narrow_above`` rows, one aggregate counts its rows in
+    ``cells`` equal parts and the part holding the wanted rank becomes the interval. Counts
+    combine before the shuffle, so a round moves at most ``cells`` rows per quantile and task,
+    whatever the distribution; a value repeated by most rows ends as an interval of its own.
     """
-    by = list(by)
-    margin = 10.0 / accuracy
+    group = [*by, "variable"]
     long = (
         df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot(by, list(columns), "variable", "value")
+        .unpivot(list(by), list(columns), "variable", "value")
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
     )
-    group = [*by, "variable"]
-    ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
-    sizes = small_table(long.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
-    whole = (F.lit(float("-inf")), F.lit(float("inf")))
-    if sizes.filter(F.col("n") > bracket_above).isEmpty():
-        found, bounds = sizes, lambda i: whole
-    else:
-        sketch = long.groupBy(*group).agg(
-            F.percentile_approx("value", [float(e) for e in ends], accuracy).alias("ends")
-        )
-        found = null_safe_join(sizes, sketch, group)
-        wide = F.col("n") > bracket_above
-
-        def bounds(i: int) -> tuple[Column, Column]:
-            first, last = probs[i] - margin <= 0, probs[i] + margin >= 1
-            low = whole[0] if first else F.when(wide, F.get("ends", F.lit(2 * i))).otherwise(whole[0])
-            high = whole[1] if last else F.when(wide, F.get("ends", F.lit(2 * i + 1))).otherwise(whole[1])
-            return low, high
-
-    prob_rows = F.explode(
+    sizes = long.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("inside"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    goals = F.explode(
         F.array(
-            *[
-                F.struct(
-                    F.lit(float(p)).alias("prob"),
-                    (F.lit(float(p)) * (F.col("n") - 1)).alias("place"),
-                    bounds(i)[0].alias("low"),
-                    bounds(i)[1].alias("high"),
-                )
-                for i, p in enumerate(probs)
-            ]
+            *[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("inside") - 1)).alias("place")) for p in probs]
+        )
+    )
+    state = small_table(
+        sizes.select(*group, "inside", "low", "high", F.lit(0).cast("long").alias("below"), goals.alias("__goal")).select(
+            *group, "__goal.prob", "__goal.place", "inside", "low", "high", "below"
         )
     )
-    brackets = small_table(found.select(*group, prob_rows.alias("b")).select(*group, "b.*"))
-    inside = null_safe_join(long, brackets, group).filter(F.col("value") <= F.col("high"))
-    clipped = F.when(F.col("value") < F.col("low"), F.lit(float("-inf"))).otherwise(F.col("value"))
+    for _ in range(MAX_NARROWINGS):
+        if state.filter((F.col("inside") > narrow_above) & (F.col("low") < F.col("high"))).isEmpty():
+            break
+        state = small_table(_narrowed(long, state, group, cells))
+    inside = null_safe_join(long, state, group).filter(F.col("value").between(F.col("low"), F.col("high")))
     counts = (
-        inside.withColumn("value", clipped)
-        .groupBy(*group, "prob", "place", "value")
+        inside.groupBy(*group, "prob", "place", "below", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(Window.partitionBy(*group, "prob").orderBy("value")))
+        .withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy(*group, "prob").orderBy("value")))
     )
-    lower, upper = F.floor("place") + 1, F.ceil("place") + 1
-    missed = F.col("high").isNull() | (F.col("low") == F.lit(float("-inf")))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))
     return (
         counts.groupBy(*group, "prob", "place")
-        .agg(
-            F.min(F.when(F.col("upto") >= lower, F.col("value"))).alias("low"),
-            F.min(F.when(F.col("upto") >= upper, F.col("value"))).alias("high"),
-        )
+        .agg(at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"))
         .select(
             *group,
             "prob",
-            F.when(missed, F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-            .otherwise(interpolate(F.col("low"), F.col("high"), F.col("place") - F.floor("place")))
-            .alias("value"),
+            interpolate(F.col("low"), F.col("high"), F.col("place") - F.floor("place")).alias("value"),
+        )
+    )
+
+
+def _narrowed(long: DataFrame, state: DataFrame, group: Sequence[str], cells: int) -> DataFrame:
+    """Each interval shrunk to the cells that hold the two ranks around its quantile."""
+    goal = [*group, "prob", "place", "below"]
+    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
+    cell = F.when(F.col("low") < F.col("high"), F.least(F.floor(share * F.lit(cells)), F.lit(cells - 1))).otherwise(0)
+    counted = (
+        null_safe_join(long, state, group)
+        .filter(F.col("value").between(F.col("low"), F.col("high")))
+        .groupBy(*goal, cell.alias("cell"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy(*group, "prob").orderBy("cell")))
+    )
+    before = F.col("upto") - F.col("n")
+    holds = (F.ceil("place") >= before) & (F.floor("place") < F.col("upto"))
+    return (
+        counted.filter(holds)
+        .groupBy(*group, "prob", "place")
+        .agg(
+            F.sum("n").alias("inside"),
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
+            F.min(before).alias("below"),
         )
     )
 
@@ -177,14 +179,15 @@ def value_buckets(
     """Add an order-preserving bucket number so that buckets hold about ``rows_per_bucket`` rows.
 
     Cut points come from a quantile sketch of all rows, so one very frequent value fills a
-    bucket of its own; group by value first where that matters.
+    bucket of its own; group by value first where that matters. Beyond ``MAX_BUCKETS`` buckets
+    grow instead of becoming more, which bounds the sketch and the table of bucket sums.
     """
     n = df.count()
-    wanted = -(-n // rows_per_bucket)
+    wanted = min(MAX_BUCKETS, -(-n // rows_per_bucket))
     if wanted <= 1:
         return df.withColumn(name, F.lit(0)), 1
     probs = [i / wanted for i in range(1, wanted)]
-    cuts = df.agg(F.percentile_approx(column, probs, max(10_000, 10 * wanted)).alias("c")).head()["c"]
+    cuts = df.agg(F.percentile_approx(column, probs, max(10_000, 4 * wanted)).alias("c")).head()["c"]
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     cut = Bucketizer(splits=splits, inputCol=column, outputCol=name).transform(df)
     return cut.withColumn(name, F.col(name).cast("int")), len(splits) - 1

@@ -92,19 +92,29 @@ def test_roc_ends(spark):
     assert (0.0, 0.0) in ends and (1.0, 1.0) in ends
 
 
-@pytest.mark.parametrize("bracket_above", [1_000_000, 0])
-def test_quantiles_bracketed_or_not(spark, bracket_above):
+@pytest.mark.parametrize("narrow_above", [1_000_000, 40, 0])
+def test_quantiles_narrowed_or_not(spark, narrow_above):
     rnd = random.Random(11)
     values = [(i % 3, rnd.gauss(0, 1), float(rnd.randint(0, 4))) for i in range(3000)]
     df = spark.createDataFrame(values, "g int, a double, b double").repartition(5)
     probs = [0.0, 0.1, 0.5, 0.75, 1.0]
-    found = exact_quantiles(df, ["a", "b"], probs, by=["g"], accuracy=200, bracket_above=bracket_above).collect()
+    found = exact_quantiles(df, ["a", "b"], probs, by=["g"], narrow_above=narrow_above, cells=7).collect()
     assert len(found) == 3 * 2 * 5
     for r in found:
         held = [v[1 if r["variable"] == "a" else 2] for v in values if v[0] == r["g"]]
         assert r["value"] == pytest.approx(np.quantile(held, r["prob"]), abs=1e-12)
 
 
+def test_quantiles_of_a_heavy_tail(spark):
+    """Nine in ten rows share one value and the rest spread over twelve orders of magnitude."""
+    rnd = random.Random(12)
+    values = [0.5] * 2700 + [10 ** rnd.uniform(-4, 8) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    probs = [0.03, 0.5, 0.93, 0.95, 0.999]
+    found = {r["prob"]: r["value"] for r in exact_quantiles(df, ["v"], probs, narrow_above=20, cells=16).collect()}
+    assert found == pytest.approx({p: np.quantile(values, p) for p in probs}, rel=1e-12)
+
+
 @pytest.mark.parametrize("descending", [True, False])
 @pytest.mark.parametrize("rows_per_bucket", [10_000, 17])
 def test_running_totals(spark, descending, rows_per_bucket):
