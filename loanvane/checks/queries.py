@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanvane.functions.keys import poisson_weight
@@ -21,7 +21,7 @@ from loanvane.functions.scalars import (
 from loanvane.models import linear, trees
 from loanvane.operators import cohort as cohort_ops
 from loanvane.operators import describe, effects, oob, prep, profile, sampling, scores
-from loanvane.operators.order_stats import exact_quantiles, null_safe_join
+from loanvane.operators.order_stats import exact_quantiles, scalar_quantile
 from loanvane.plans import loan_study
 from loanvane.sources import reports
 from loanvane.sources.loan_view import (
@@ -141,9 +141,8 @@ def mean_vintage_rate(spark, sf):
 def volume_line(spark, sf):
     """Completed share drawn on the volume axis: a scalar looked up in every row."""
     summary = cohort_ops.vintage_summary(labelled_of(spark, sf))
-    top = summary.agg(F.max("n_total").alias("top"))
-    line = summary.crossJoin(F.broadcast(top))
-    return rounded(line.select("issue_year", "n_total", (F.col("prop_completed") * F.col("top")).alias("completed_line")))
+    top = F.max("n_total").over(Window.partitionBy())
+    return rounded(summary.select("issue_year", "n_total", (F.col("prop_completed") * top).alias("completed_line")))
 
 
 def app_type_counts(spark, sf):
@@ -365,12 +364,10 @@ def design_totals(spark, sf):
 
 
 def high_rate_treatment(spark, sf):
-    """High-rate flag at the training upper quartile, which is looked up as a one-row table."""
-    split = split_of(spark, sf)
-    train = split.filter("is_train")
-    threshold = exact_quantiles(train, ["int_rate"], [0.75]).select(F.col("value").alias("threshold"))
-    flagged = train.crossJoin(F.broadcast(threshold))
-    return rounded(flagged.select("id", at_least(F.col("int_rate"), F.col("threshold")).alias("high_rate")))
+    """High-rate flag at the training upper quartile, which is looked up as a scalar."""
+    train = split_of(spark, sf).filter("is_train")
+    threshold = scalar_quantile(train, "int_rate", 0.75)
+    return rounded(train.select("id", at_least(F.col("int_rate"), threshold).alias("high_rate")))
 
 
 # --- evaluation -------------------------------------------------------------------------

@@ -44,8 +44,7 @@ def risk_surface(df: DataFrame) -> DataFrame:
 def group_share(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows and share of all rows per group."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("all_rows"))
-    return counts.crossJoin(F.broadcast(total)).select(*by, "n", F.try_divide("n", "all_rows").alias("share"))
+    return counts.select(*by, "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
 def outcome_by_year(df: DataFrame) -> DataFrame:

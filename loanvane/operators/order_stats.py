@@ -29,8 +29,6 @@ MAX_NARROWINGS = 8
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` in which NULL meets NULL; right-side keys are dropped."""
-    if not keys:
-        return left.crossJoin(right)
     renamed = right
     condition = F.lit(True)
     for i, k in enumerate(keys):
@@ -55,7 +53,8 @@ def rank_cuts(
     so the wide table is never shuffled: it is only compared with a handful of cuts.
 
     One aggregate counts rows per slot of the key space. Only the slots that hold a target
-    rank, a 1/``slots`` share of the rows each, are then ordered.
+    rank, a 1/``slots`` share of the ids each, are then ordered. Copies of one id are
+    counted together and fall on the same side of a cut.
     """
     strata = list(strata)
     rows = df.select(*strata, F.col(id_column).alias("cut_id"), key.column(F.col(id_column)).alias("cut_key"))
@@ -74,12 +73,11 @@ def rank_cuts(
     )
     slot_keys = [*strata, "slot"]
     in_hit_slots = null_safe_join(rows, hits.select(*slot_keys).distinct(), slot_keys)
-    placed = in_hit_slots.withColumn(
-        "row_place", F.row_number().over(Window.partitionBy(*slot_keys).orderBy("cut_key", "cut_id"))
-    )
+    copies = in_hit_slots.groupBy(*slot_keys, "cut_key", "cut_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = copies.withColumn("upto", F.sum("n").over(Window.partitionBy(*slot_keys).orderBy("cut_key", "cut_id")))
     return (
         null_safe_join(placed, hits, slot_keys)
-        .filter(F.col("row_place") == F.col("place"))
+        .filter((F.col("place") > F.col("upto") - F.col("n")) & (F.col("place") <= F.col("upto")))
         .select(*strata, "stratum_rows", "target", "cut_key", "cut_id")
     )
 

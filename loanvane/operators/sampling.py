@@ -32,11 +32,14 @@ def flag_stratified(
     if fraction == 1.0:
         return df.withColumn(flag, F.lit(True))
     size = lambda n: F.array(F.floor(n.cast("double") * F.lit(fraction)).cast("long"))
-    cuts = small_table(
-        rank_cuts(df, strata, size, key, id_column).select(*strata, "cut_key", "cut_id")
-    )
-    marked = null_safe_join(df, cuts, list(strata), "left" if strata else "inner")
-    taken = _not_above(key.column(F.col(id_column)), F.col(id_column), F.col("cut_key"), F.col("cut_id"))
+    cuts = rank_cuts(df, strata, size, key, id_column).select(*strata, "cut_key", "cut_id")
+    row_key, row_id = key.column(F.col(id_column)), F.col(id_column)
+    if not strata:
+        found = bounded_rows(cuts, 1)
+        below = _not_above(row_key, row_id, F.lit(found[0]["cut_key"]), F.lit(found[0]["cut_id"])) if found else F.lit(False)
+        return df.withColumn(flag, below)
+    marked = null_safe_join(df, small_table(cuts), list(strata), "left")
+    taken = _not_above(row_key, row_id, F.col("cut_key"), F.col("cut_id"))
     return marked.withColumn(flag, F.coalesce(taken, F.lit(False))).drop("cut_key", "cut_id")
 
 
