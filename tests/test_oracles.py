@@ -1,4 +1,4 @@
-"""Every named query with an SQL counterpart, side by side on the smallest tables."""
+"""Every named query with an SQL counterpart, side by side on the sf0.01 tables."""
 
 import pytest
 from oracle_compare import DATA, compare, duck
@@ -6,7 +6,7 @@ from oracle_compare import DATA, compare, duck
 from loanvane.checks.oracles import ORACLES
 from loanvane.checks.queries import QUERIES
 
-SF = "0.001"
+SF = "0.01"
 
 
 @pytest.fixture(scope="module")
