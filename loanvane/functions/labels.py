@@ -35,7 +35,7 @@ REPAID = [
 
 def issue_year(issue_date: Column) -> Column:
     """Last four characters of the issue date text; empty becomes NULL, nothing is validated."""
-    return F.nullif(F.right(issue_date, F.lit(4)), F.lit(""))
+    return F.when(issue_date != "", F.substring(issue_date, -4, 4))
 
 
 def status_group(status: Column) -> Column:

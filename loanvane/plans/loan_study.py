@@ -36,7 +36,7 @@ from loanvane.operators.profile import (
 )
 from loanvane.operators.sampling import stratified_sample, train_test_flag, with_folds
 from loanvane.operators.scores import long_scores, rank_models, score_metrics
-from loanvane.runtime import small_table, stage_table
+from loanvane.runtime import bounded_rows, small_table, stage_table
 
 TARGET_ROWS = 120_000
 ROWS_PER_TASK = 50_000
@@ -83,7 +83,7 @@ class SplitData:
 
 def stage_counts(loans: DataFrame, years: Sequence[str], target_rows: int | None) -> dict[str, int]:
     """Rows of the raw, labelled, cohort and sample stages from one grouped aggregate."""
-    strata = cohort_counts(loans, years).collect()  # issue years x 3 x 2 rows
+    strata = bounded_rows(cohort_counts(loans, years))  # issue years x outcomes x 2 rows
     cohort = [r["n"] for r in strata if r["in_cohort"]]
     total = sum(cohort)
     share = min(1.0, target_rows / total) if target_rows is not None and total else 1.0
