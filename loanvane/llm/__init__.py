@@ -1,0 +1 @@
+"""Operators for large text corpora: sharding, scoring, cleaning, mixing, joins, archives, decontamination."""
