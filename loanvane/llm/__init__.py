@@ -1 +1,8 @@
 """Operators for large text corpora: sharding, scoring, cleaning, mixing, joins, archives, decontamination."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the workers whole, so executors need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanvane.llm import line_cleaning, mixing, sharding
+from loanvane.llm import factorization, line_cleaning, mixing, positional_index, sharding, zip_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(docs).drop("text")
 
 
+def op3_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorization.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_cleaning.clean_by_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -26,8 +30,19 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zip_warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_extendible_shards": op1_extendible_shards,
+    "op3_factorization": op3_factorization,
     "op5_line_cleaning": op5_line_cleaning,
     "op6_entropy_mixing": op6_entropy_mixing,
+    "op8_zip_warc": op8_zip_warc,
+    "op9_positional_index": op9_positional_index,
 }
