@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanvane.llm import factorization, line_cleaning, mixing, positional_index, sharding, zip_warc
+from loanvane.llm import factorization, line_cleaning, mixing, positional_index, rule_ensemble, sharding, zip_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(docs).drop("text")
 
 
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_extendible_shards": op1_extendible_shards,
+    "op2_rule_ensemble": op2_rule_ensemble,
     "op3_factorization": op3_factorization,
     "op5_line_cleaning": op5_line_cleaning,
     "op6_entropy_mixing": op6_entropy_mixing,
