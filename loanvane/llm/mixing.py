@@ -7,10 +7,10 @@ one aggregate over the documents (counted by source and size first) and all sour
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanvane.llm.shared import WORD, key_hash, stage
+from loanvane.llm.shared import WORD, key_hash, size_checked, stage
 
 SOURCE_WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -19,6 +19,7 @@ TOLERANCE = 1e-9
 MAX_STEPS = 60
 FRACTION = 1 << 20
 SUB_CELL_ROWS = 20_000
+BROADCAST_ROWS = 2_000_000
 
 
 def source_targets(sized: DataFrame, weights=SOURCE_WEIGHTS, share=TOTAL_SHARE, cap=MAX_REPEATS) -> DataFrame:
@@ -144,6 +145,15 @@ def settle_rests(copies: DataFrame, targets: DataFrame, cap: int = MAX_REPEATS)
     return moved.select("doc_id", "row_no", "source", "size", "rate", (F.col("copies") + F.coalesce(F.col("sign"), F.lit(0))).alias("copies"))
 
 
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def row_number() -> Column:
+    """Number among the rows of equal id, source and size."""
+    return F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0)))
+
+
 def mix_sources(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, rate, copies, taken.
 
@@ -151,10 +161,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     one copy and count nothing; a source without words has target 0. Repeated rows are mixed each on its own, equal
     ids being told apart by a number that the order of equal rows cannot change the sum of. Empty input: no rows.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"))
-    again = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    sized = stage(sized.withColumn("row_no", F.row_number().over(again)), "mix-sizes")
+    sized = stage(docs.select("doc_id", "source", word_count().alias("size")).withColumn("row_no", row_number()), "mix-sizes")
     targets = stage(source_targets(sized), "mix-targets")
     cells = stage(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
     lam = balance_multipliers(cells, targets)
@@ -170,3 +177,18 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     return copies.join(info, F.col("source").eqNullSafe(F.col("src"))).select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "row_no"
     )
+
+
+def repeat_rows(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` in as many copies as ``mix_sources`` gives them; the columns stay."""
+    copies = stage(mix_sources(docs).select("doc_id", "source", "size", "row_no", "copies"), "mix-taken")
+    columns = docs.columns
+    if copies.filter("row_no > 1").isEmpty() and copies.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rows = docs.join(size_checked(copies.select(F.col("doc_id").alias("_id"), "copies"), BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")))
+    else:
+        numbered = docs.withColumn("size", word_count()).withColumn("row_no", row_number())
+        keys = copies.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "row_no")], "copies")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "source", "size", "row_no")]
+        rows = numbered.join(keys, same[0] & same[1] & same[2] & same[3])
+    rows = rows.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanvane.llm import factorization, line_cleaning, mixing, positional_index, rule_ensemble, sharding, zip_warc
+from loanvane.llm import class_lm, factorization, group_join, line_cleaning, mixing, positional_index, rule_ensemble, sharding, zip_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zip_warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
 
@@ -42,12 +46,18 @@ def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(table(spark, sf_dir, "documents")).drop("perplexity")
+
+
 QUERIES = {
     "op1_extendible_shards": op1_extendible_shards,
     "op2_rule_ensemble": op2_rule_ensemble,
     "op3_factorization": op3_factorization,
     "op5_line_cleaning": op5_line_cleaning,
     "op6_entropy_mixing": op6_entropy_mixing,
+    "op7_group_join": op7_group_join,
     "op8_zip_warc": op8_zip_warc,
     "op9_positional_index": op9_positional_index,
+    "op10_class_lm": op10_class_lm,
 }

@@ -44,7 +44,7 @@ def make_record(page_id: int, url: str | None, payload: bytes, digest: str, size
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         *([f"WARC-Target-URI: {' '.join(url.split())}"] if url is not None else []),
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -69,7 +69,7 @@ def parse_record(raw: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError("payload does not match its digest")
-    number = lambda name: int(fields[name][len("<urn:page:") : -1]) if name in fields else None
+    number = lambda name: int(fields[name][len("<urn:page:") : -1]) if len(fields.get(name, "")) > len("<urn:page:>") else None
     return {
         "page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest,
         "record_type": kind, "refers_to": number("WARC-Refers-To"), "payload": payload if kind == "response" else None,
@@ -247,7 +247,7 @@ def read_archives(manifest: DataFrame, batch_bytes: int = 16 << 20) -> DataFrame
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) to archives and returns the records read back.
 
-    A null html is an empty payload, a null url has no target line. Pages need an id; rows of equal id and payload are
+    A null html is an empty payload, a null url has no target line, a null id stays null. Rows of equal id and payload are
     written each. Empty input: no archives, no rows.
     """
     return read_archives(write_archives(pages))
