@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanvane.llm import class_lm, factorization, group_join, line_cleaning, mixing, positional_index, rule_ensemble, sharding, zip_warc
+from loanvane.llm import class_lm, factorization, group_join, line_cleaning, mixing, positional_index, rule_ensemble, sharding, site_tree, zip_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_cleaning.clean_by_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_extendible_shards": op1_extendible_shards,
     "op2_rule_ensemble": op2_rule_ensemble,
     "op3_factorization": op3_factorization,
+    "op4_site_tree": op4_site_tree,
     "op5_line_cleaning": op5_line_cleaning,
     "op6_entropy_mixing": op6_entropy_mixing,
     "op7_group_join": op7_group_join,
