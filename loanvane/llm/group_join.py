@@ -371,6 +371,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", width: int = SHINGL
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is the smallest of its component."""
-    kept = similar_components(docs, key).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, key, "left_semi")
+    """Rows of ``docs`` whose key is the smallest of its component; rows without a key stay."""
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = similar_components(docs, key).filter(same).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs[key].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -183,12 +183,15 @@ def repeat_rows(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` in as many copies as ``mix_sources`` gives them; the columns stay."""
     copies = stage(mix_sources(docs).select("doc_id", "source", "size", "row_no", "copies"), "mix-taken")
     columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("row"), *[F.col(c).alias(f"of_{c}") for c in ("doc_id", "source")], word_count().alias("of_size"))
     if copies.filter("row_no > 1").isEmpty() and copies.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        rows = docs.join(size_checked(copies.select(F.col("doc_id").alias("_id"), "copies"), BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")))
+        by_id = size_checked(copies.select("doc_id", "copies"), BROADCAST_ROWS)
+        rows = rows.join(by_id, F.col("of_doc_id").eqNullSafe(F.col("doc_id")))
     else:
-        numbered = docs.withColumn("size", word_count()).withColumn("row_no", row_number())
-        keys = copies.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "row_no")], "copies")
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "source", "size", "row_no")]
-        rows = numbered.join(keys, same[0] & same[1] & same[2] & same[3])
-    rows = rows.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*columns)
+        number = F.row_number().over(Window.partitionBy("of_doc_id", "of_source", "of_size").orderBy(F.lit(0)))
+        same = F.lit(True)
+        for c in ("doc_id", "source", "size", "row_no"):
+            same = same & F.col(f"of_{c}").eqNullSafe(F.col(c))
+        rows = rows.withColumn("of_row_no", number).join(copies, same)
+    rows = rows.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns])

@@ -242,6 +242,6 @@ def find_benchmark(docs: DataFrame, items: DataFrame, key: str = "doc_id", width
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key has no exact test phrase."""
-    dirty = find_benchmark(docs, items, key).filter("contaminated").select(key).distinct()
-    return docs.join(dirty, key, "left_anti")
+    """Rows of ``docs`` whose key has no exact test phrase; rows without a key count as one document."""
+    dirty = find_benchmark(docs, items, key).filter("contaminated").select(F.col(key).alias("dirty_id")).distinct()
+    return docs.join(dirty, docs[key].eqNullSafe(dirty["dirty_id"]), "left_anti")
