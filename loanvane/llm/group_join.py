@@ -7,10 +7,10 @@ A document is the set of hashes of its five-word runs. Four steps, each exact:
    the few sets that pass.
 3. Similar sets are brought together by their smallest hash, in blocks of limited size; links inside blocks give first
    components. This only saves work later.
-4. What is left to find are links between components. Sets of one component are partitioned into groups of limited size
-   and each group stores the union of its tokens (its column of the token-group matrix). A set meets a foreign group
+4. What is left to find are links between components. Similar sets are partitioned into groups of limited size
+   and each group stores the union of its tokens (its column of the token-group matrix). A set meets a group
    only over a token of both their rarest-token prefixes; the group is opened only if the overlap of the set
-   with the group's union reaches what the smallest fitting member would need, and a first link ends the search in it.
+   with the group's union reaches what a member would need, and a first link to a component ends the search in it.
 
 Links within one component are never listed, so a group of n near copies costs about n steps and not n squared.
 """
@@ -36,7 +36,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 BUCKET_TOKENS = 4_000_000
 FLUSH_TOKENS = 1_000_000
 BLOCK_SETS, BLOCK_TOKENS = 256, 1_000_000
-GROUP_TOKENS = 16_384
+GROUP_TOKENS = 65_536
 MERGE_ROUNDS = 3
 BROADCAST_ROWS = 2_000_000
 
@@ -162,11 +162,31 @@ def shared_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFr
         sizes = np.diff(at)
         shared = np.repeat(sizes > 1, sizes)
         n = np.bincount((pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(classes))
+        # partial counts go on packed, a row for each bucket that adds them up
         some = np.flatnonzero(n)
-        return pa.table({"cls": pa.array([classes[i].tobytes() for i in some], pa.binary()), "shared": pa.array(n[some].astype(np.int64))})
+        if not len(some):
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary())], ["bucket", "owners", "counts"])
+        names, n = classes[some], n[some].astype(np.uint32)
+        to = (np.frombuffer(names.tobytes(), np.uint32).reshape(-1, 4)[:, 0] % np.uint32(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        names, n, to = names[order], n[order], to[order]
+        at = group_offsets(to)
+        cut = list(zip(at[:-1], at[1:], strict=True))
+        return pa.table(
+            [pa.array(to[at[:-1]].astype(np.int32)), pa.array([names[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cut], pa.binary())],
+            ["bucket", "owners", "counts"],
+        )
+
+    def add(table: pa.Table) -> pa.Table:
+        owners = np.frombuffer(b"".join(table.column("owners").to_pylist()), "V16")
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
+        classes, number = np.unique(owners, return_inverse=True)
+        total = np.bincount(number, counts, len(classes)).astype(np.int64)
+        return pa.table({"cls": pa.array([c.tobytes() for c in classes], pa.binary()), "shared": pa.array(total)})
 
     packed = docs.select("text").mapInArrow(pack, _Packer.schema)
-    return packed.groupBy("bucket").applyInArrow(count, "cls binary, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+    partial = packed.groupBy("bucket").applyInArrow(count, "bucket int, owners binary, counts binary")
+    return partial.groupBy("bucket").applyInArrow(add, "cls binary, shared long")
 
 
 def sets_with_partner(docs: DataFrame, key: str, width: int, classes: DataFrame, buckets: int) -> DataFrame:
@@ -273,65 +293,73 @@ def crossing_tokens(sets: DataFrame, buckets: int) -> DataFrame:
 
 
 def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows of a set and a group (packed members and their union): an edge to the first linked member, if any."""
+    """For rows of a set and a group (packed members and their union): an edge to a linked member of each later component."""
     for batch in batches:
         a, b = [], []
-        for rep, tokens, union, reps, sizes, members in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+        for rep, tokens, sets, comp, union, reps, sizes, m_sets, m_comps, members in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
             mine = np.frombuffer(tokens, np.uint64)
             n, m = len(mine), np.array(sizes)
             bound = len(np.intersect1d(mine, np.frombuffer(union, np.uint64), assume_unique=True))
-            # what a member of m tokens needs, and what any member can have at most
+            # an overlap with the union that no member could do with leaves the group closed
             fits = linked(np.minimum(bound, np.minimum(n, m)), n, m)
-            if not fits.any():
-                continue
-            for i in np.flatnonzero(fits):
+            joined = set()
+            for i in np.flatnonzero(fits).tolist():
+                if (m_sets[i], m_comps[i]) <= (sets, comp) or m_comps[i] in joined:
+                    continue
                 overlap = len(np.intersect1d(mine, np.frombuffer(members[i], np.uint64), assume_unique=True))
                 if linked(overlap, n, int(m[i])):
                     a.append(rep)
                     b.append(reps[i])
-                    break
+                    joined.add(m_comps[i])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def pack_groups(table: pa.Table) -> pa.Table:
-    """One row per group: union of the tokens, members, their sizes and tokens."""
+    """One row per group: union of the tokens, members, their sizes, components and tokens."""
     bodies = table.column("tokens").to_pylist()
     union = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in bodies]))
+    lists = {name: pa.array([table.column(name).to_pylist()], pa.list_(pa.int64())) for name in ("rep", "n", "c_sets", "component")}
     return pa.table(
         {
             "g": pa.array([table.column("g")[0].as_py()], pa.string()), "union": pa.array([union.tobytes()], pa.binary()),
-            "reps": pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())),
-            "sizes": pa.array([table.column("n").to_pylist()], pa.list_(pa.int64())), "members": pa.array([bodies], pa.list_(pa.binary())),
+            "reps": lists["rep"], "sizes": lists["n"], "m_sets": lists["c_sets"], "m_comps": lists["component"],
+            "members": pa.array([bodies], pa.list_(pa.binary())),
         }
     )
 
 
 def foreign_edges(sets: DataFrame, buckets: int) -> DataFrame:
-    """At least one link, where there is one, between every set and every group of another component."""
+    """At least one link, where there is one, between every set and every other component.
+
+    Large components have groups of their own. Sets of small ones are grouped by their most frequent token, so that a
+    crowd of single near copies makes a few groups and not one each. Of two components the smaller one asks.
+    """
     spark = sets.sparkSession
     tokens = stage(crossing_tokens(sets, buckets), "join-crossing")
-    able = tokens.groupBy("rep").agg(F.count("*").alias("e")).join(sets.select("rep", "n", "component"), "rep")
+    able = tokens.groupBy("rep").agg(F.count("*").alias("e"), F.max(F.struct("df", "token"))["token"].alias("top"))
+    able = able.join(sets.select("rep", "n", "component"), "rep")
     able = able.withColumn("least", F.ceil(NUMERATOR * F.col("n") / DENOMINATOR)).filter("e >= least")
-    comps = able.groupBy("component").agg(F.count("*").alias("c_sets"))
-    able = able.join(comps, "component").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1.2)))
-    parts = able.groupBy("component", "band").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("k"))
-    able = able.join(parts, ["component", "band"]).withColumn("g", F.concat_ws("/", "component", "band", F.pmod(F.xxhash64("rep"), F.col("k"))))
+    comps = able.groupBy("component").agg(F.count("*").alias("c_sets"), F.sum("n").alias("c_tokens"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.2))
+    kind = F.when(F.col("c_tokens") >= GROUP_TOKENS, F.concat_ws("/", F.lit("c"), "component", band)).otherwise(F.concat_ws("/", F.lit("t"), "top", band))
+    able = stage(able.join(comps, "component").withColumn("kind", kind).drop("c_tokens", "top"), "join-able")
+    parts = able.groupBy("kind").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("k"))
+    able = able.join(parts, "kind").withColumn("g", F.concat_ws("/", "kind", F.pmod(F.xxhash64("rep"), F.col("k"))))
     able = stage(able.select("rep", "n", "component", "c_sets", "e", "least", "g"), "join-groups")
-    rank = F.row_number().over(W.partitionBy("rep").orderBy("df", "token"))
-    prefix = tokens.join(able, "rep").withColumn("nth", rank).filter(F.col("nth") <= F.col("e") - F.col("least") + 1)
-    prefix = stage(prefix.select("token", "rep", "n", "component", "c_sets", "g"), "join-prefixes")
-    columns = prefix.groupBy("token", "g").agg(
-        F.first("component").alias("gc"), F.first("c_sets").alias("g_sets"), F.min("n").alias("lo"), F.max("n").alias("hi")
-    )
-    smaller = F.struct("c_sets", "component") < F.struct("g_sets", "gc")  # of two components, the one with fewer sets asks
+    nth = F.row_number().over(W.partitionBy("rep").orderBy("df", "token"))
+    prefix = tokens.join(able, "rep").withColumn("nth", nth).filter(F.col("nth") <= F.col("e") - F.col("least") + 1)
+    rank = F.struct("c_sets", "component").alias("rank")
+    prefix = stage(prefix.select("token", "rep", "n", rank, "g"), "join-prefixes")
+    columns = prefix.groupBy("token", "g").agg(F.max("rank").alias("last"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     fits = (DENOMINATOR * F.col("hi") >= NUMERATOR * F.col("n")) & (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("lo"))
-    asks = prefix.select("token", "rep", "n", "component", "c_sets").join(columns, "token").filter(smaller & fits)
+    asks = prefix.select("token", "rep", "n", "rank").join(columns, "token").filter((F.col("rank") < F.col("last")) & fits)
     asks = stage(asks.select("rep", "g").distinct(), "join-asks")
-    of_group = able.select(F.col("rep").alias("r"), "g")
-    rows = sets.join(of_group, F.col("rep") == F.col("r")).select("g", "rep", "n", "tokens")
-    groups = stage(rows.groupBy("g").applyInArrow(pack_groups, "g string, union binary, reps array<long>, sizes array<long>, members array<binary>"), "join-columns")
-    pairs = asks.join(sets.select("rep", "tokens"), "rep").join(groups, "g").select("rep", "tokens", "union", "reps", "sizes", "members")
-    with small_batches(spark, 64):
+    full = sets.select("rep", "tokens").join(able.select("rep", "n", "component", "c_sets", "g"), "rep")
+    columns = "g string, union binary, reps array<long>, sizes array<long>, m_sets array<long>, m_comps array<long>, members array<binary>"
+    groups = stage(full.groupBy("g").applyInArrow(pack_groups, columns), "join-columns")
+    pairs = asks.join(full.drop("g"), "rep").join(groups, "g")
+    pairs = pairs.select("rep", "tokens", "c_sets", "component", "union", "reps", "sizes", "m_sets", "m_comps", "members")
+    with small_batches(spark, 16):
         return stage(pairs.mapInArrow(open_groups, "a long, b long"), "join-links")
 
 
