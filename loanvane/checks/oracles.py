@@ -488,7 +488,12 @@ width AS (SELECT model, y, n, 0.9::DOUBLE * 1.1::DOUBLE * pow(CAST(n AS DOUBLE),
             * least(sd, CASE WHEN iqr > 0 THEN iqr / 1.34::DOUBLE ELSE sd END) AS h FROM setup),
 ends AS (SELECT min(p_hat) AS a, max(p_hat) AS b FROM scores),
 grid AS (SELECT a + (b - a) / 511::DOUBLE * i AS x FROM ends, range(512) r(i)),
-kernels AS (SELECT model, y, p_hat, count(*) AS w FROM scores GROUP BY model, y, p_hat)""",
+merged AS (SELECT model, y, (p_hat - a) / ((b - a) / 1023::DOUBLE) AS spot, a, (b - a) / 1023::DOUBLE AS step, count(*) AS m
+           FROM scores, ends GROUP BY model, y, p_hat, a, b),
+shared AS (SELECT model, y, a, step, least(floor(spot), 1022) AS c, m * (1 - (spot - least(floor(spot), 1022))) AS w FROM merged
+           UNION ALL
+           SELECT model, y, a, step, least(floor(spot), 1022) + 1 AS c, m * (spot - least(floor(spot), 1022)) AS w FROM merged),
+kernels AS (SELECT model, y, a + step * c AS p_hat, sum(w) AS w FROM shared GROUP BY model, y, a, step, c)""",
         f"""SELECT model, {big('y', 'y')}, {six('x', 'x')},
   {six('sum(w * exp(-0.5::DOUBLE * ((x - p_hat) / h) * ((x - p_hat) / h))) / (max(n) * max(h) * sqrt(2 * pi()))', 'density')}
 FROM kernels JOIN width USING (model, y), grid GROUP BY model, y, x""",

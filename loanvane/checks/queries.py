@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanvane.functions.keys import poisson_weight
 from loanvane.functions.labels import default_label, issue_year, long_term_flag, status_group
 from loanvane.functions.scalars import (
     at_least,
@@ -31,7 +30,7 @@ from loanvane.sources.loan_view import (
     TIE_KEY,
     VIEW_MIN_BIN_ROWS,
     VIEW_YEARS,
-    loan_table,
+    loan_view,
 )
 
 SAMPLE_FRACTION = 0.6
@@ -43,11 +42,6 @@ DESIGN_CATEGORICAL = ["grade", "emp_length", "fico_bin"]
 OOB_TREES = 12
 MAYBE_MISSING = ["term_60", "rows_removed", "cols_dropped", "cols_added"]
 
-# Smaller settings than a full study, so that a check of every model stays short.
-STUDY = {"alphas": [0.0, 0.5, 1.0], "path_length": 4, "path_ratio": 0.001, "bag_trees": 6, "vote_trees": 4,
-         "forest_trees": 20, "forest_oob_trees": 4, "max_depth": 8}
-
-
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six decimals, whole numbers to bigint: the last digits of sums differ between engines.
 
@@ -68,11 +62,11 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def loans_of(spark: SparkSession, sf: str) -> DataFrame:
-    return loan_table(spark, sf)
+    return loan_view(spark, sf)
 
 
 def labelled_of(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort_ops.label_loans(loan_table(spark, sf))
+    return cohort_ops.label_loans(loan_view(spark, sf))
 
 
 def cohort_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +116,7 @@ def nuisances_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def study_split(spark: SparkSession, sf: str) -> loan_study.SplitData:
-    data = loan_study.build_modelling_data(loan_table(spark, sf), VIEW_YEARS)
+    data = loan_study.build_modelling_data(loan_view(spark, sf), VIEW_YEARS)
     return loan_study.split_and_impute(data.table, key=SPLIT_KEY)
 
 
@@ -278,7 +272,7 @@ def final_predictors(spark, sf):
 
 
 def audit_trail(spark, sf):
-    audit = loan_study.build_modelling_data(loan_table(spark, sf), VIEW_YEARS, target_rows=loan_study.TARGET_ROWS).audit
+    audit = loan_study.build_modelling_data(loan_view(spark, sf), VIEW_YEARS, target_rows=loan_study.TARGET_ROWS).audit
     return rounded(audit.drop("action", "notes"))
 
 
@@ -500,18 +494,16 @@ def design_matrix(spark, sf):
 
 def logit(spark, sf):
     data = study_split(spark, sf)
-    train = loan_study.packed(data.design.transform(data.train), data.rows)
-    fitted = linear.fit_logit(train)
+    fitted = linear.fit_logit(loan_study.kept(data.design.transform(data.train)))
     return linear.score(fitted, data.design.transform(data.test), "p_hat").drop("features")
 
 
 def enet_grid(spark, sf):
+    """All mixing shares over the whole penalty path, five folds each."""
     data = study_split(spark, sf)
     folded = sampling.with_folds(data.train, key=FOLD_KEY)
-    train = loan_study.packed(data.design.transform(folded, keep=["id", "default", "fold"]), data.rows)
-    penalties = linear.tune(
-        train, alphas=STUDY["alphas"], path_length=STUDY["path_length"], path_ratio=STUDY["path_ratio"]
-    )
+    train = loan_study.kept(data.design.transform(folded, keep=["id", "default", "fold"]))
+    penalties = linear.tune(train)
     models = linear.fit_alphas(train, penalties)
     long = linear.alpha_scores(models, penalties, data.design.transform(data.test))
     return linear.grid_table(penalties, scores.score_metrics(long))
@@ -520,45 +512,51 @@ def enet_grid(spark, sf):
 def cart(spark, sf):
     data = study_split(spark, sf)
     design = data.tree_design
-    fitted = trees.fit_cart(loan_study.packed(design.transform(data.train), data.rows), design.max_bins)
+    fitted = trees.fit_cart(loan_study.kept(design.transform(data.train)), design.max_bins)
     return linear.score(fitted, design.transform(data.test), "p_hat").drop("features")
 
 
-def _bag(spark, sf, depth):
-    data = study_split(spark, sf)
-    design = data.tree_design
-    train = loan_study.packed(design.transform(data.train), data.rows)
-    grown = trees.fit_bag(train, STUDY["bag_trees"], 7, max_bins=design.max_bins, max_depth=depth, parallelism=6)
-    return data, design, train, grown
-
-
 def bagging_oob(spark, sf):
-    _, _, train, grown = _bag(spark, sf, STUDY["max_depth"])
+    data = study_split(spark, sf)
+    train = loan_study.kept(data.tree_design.transform(data.train))
+    grown = trees.fit_bag(train, seed=7, max_bins=data.tree_design.max_bins, cp=trees.CP)
     return oob.oob_error_path(trees.out_of_bag(trees.tree_votes(grown, train), len(grown), 7))
 
 
 def bagging_vote(spark, sf):
-    data, design, _, grown = _bag(spark, sf, STUDY["max_depth"])
+    data = study_split(spark, sf)
+    design = data.tree_design
+    train = loan_study.kept(design.transform(data.train))
+    grown = trees.fit_bag(
+        train, trees.VOTE_TREES, 8, max_bins=design.max_bins, max_depth=trees.VOTE_DEPTH, min_leaf=trees.VOTE_LEAF
+    )
     return trees.mean_vote(trees.tree_votes(grown, design.transform(data.test)), "p_hat", majority=True)
 
 
 def forest(spark, sf):
     data = study_split(spark, sf)
     design = data.tree_design
-    mtry = str(trees.default_mtry(len(design.names)))
-    train = loan_study.packed(design.transform(data.train, nominal=False), data.rows)
-    fitted = trees.fit_forest(train, STUDY["forest_trees"], mtry, design.max_bins, STUDY["max_depth"])
-    return trees.importance_table(fitted, design.names, spark)
+    train = loan_study.kept(design.transform(data.train, nominal=False))
+    grown = trees.fit_bag(
+        train, trees.FOREST_TREES, 9, str(trees.default_mtry(len(design.names))), design.max_bins, trees.FOREST_DEPTH, trees.FOREST_LEAF
+    )
+    return trees.importance_table(grown, design.names, spark)
 
 
 def model_comparison(spark, sf):
-    return loan_study.compare_models(study_split(spark, sf), fold_key=FOLD_KEY, **STUDY).metrics
+    return loan_study.compare_models(study_split(spark, sf), fold_key=FOLD_KEY).metrics
 
 
 def dml_enet(spark, sf):
-    return loan_study.estimate_effects(
-        study_split(spark, sf), path_length=STUDY["path_length"], path_ratio=STUDY["path_ratio"], key=FOLD_KEY
-    )
+    """Effects with nuisances of the mixing share that the model choice finds best."""
+    data = study_split(spark, sf)
+    folded = sampling.with_folds(data.train, key=FOLD_KEY)
+    train = loan_study.kept(data.design.transform(folded, keep=["id", "default", "fold"]))
+    penalties = linear.tune(train)
+    long = linear.alpha_scores(linear.fit_alphas(train, penalties), penalties, data.design.transform(data.test))
+    best = linear.choose(linear.grid_table(penalties, scores.score_metrics(long)))
+    train.unpersist()
+    return loan_study.estimate_effects(data, alpha=best.alpha, key=FOLD_KEY)
 
 
 ORDER = [

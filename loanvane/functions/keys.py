@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PRIME = 2147483647
+# A Poisson(1) count above 21 has probability under 2^-64, less than one step of a 63-bit key.
+MOST_DRAWS = 21
 
 
 @dataclass(frozen=True)
@@ -43,8 +45,8 @@ def poisson_weight(id_column: Column, seed: int, draw: int, key: RandomKey | Non
     source = key or RandomKey(seed * 1_000_003 + draw)
     u = source.column(id_column) / F.lit(source.space)
     weight, term, total = F.lit(None).cast("double"), 0.36787944117144233, 0.0
-    for count in range(9):
+    for count in range(MOST_DRAWS):
         total += term
         weight = F.when(u < total, float(count)) if count == 0 else weight.when(u < total, float(count))
         term /= count + 1
-    return weight.otherwise(9.0)
+    return weight.otherwise(float(MOST_DRAWS))

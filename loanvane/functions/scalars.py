@@ -104,11 +104,32 @@ def student_cdf_two_sided(t: float, df: int) -> float:
 
 
 def student_p_value(t: float, df: int) -> float:
-    """Two-sided p-value. Beyond 100 degrees of freedom by Wallace's normal approximation."""
-    if df <= 100:
-        return max(0.0, 1.0 - student_cdf_two_sided(t, df))
-    scale = (8 * df + 1) / (8 * df + 3) * math.sqrt(df * math.log1p(t * t / df))
-    return math.erfc(scale / math.sqrt(2))
+    """Two-sided p-value at any degrees of freedom: the regularised incomplete beta function at df / (df + t^2)."""
+    x = df / (df + t * t)
+    return 1.0 if x >= 1 else _incomplete_beta(df / 2, 0.5, x)
+
+
+def _incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
+    if x <= 0:
+        return 0.0
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1 / (1 - (a + b) * x / (a + 1))
+    value = d
+    for m in range(1, 10_000):
+        for step in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * value
 
 
 def _student_quantile(df: int, coverage: float) -> float:

@@ -24,7 +24,7 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
 NARROW_ABOVE = 1_000_000
 NARROWING_CELLS = 4096
-MAX_NARROWINGS = 8
+LARGEST = 1.7976931348623157e308
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -44,6 +44,7 @@ def rank_cuts(
     key: RandomKey,
     id_column: str = "id",
     slots: int = HISTOGRAM_SLOTS,
+    order_above: int = NARROW_ABOVE,
 ) -> DataFrame:
     """The (key, id) found at given ranks of the random order within each stratum.
 
@@ -52,33 +53,53 @@ def rank_cuts(
     A row is among the first ``target`` rows exactly when its (key, id) is not above the cut,
     so the wide table is never shuffled: it is only compared with a handful of cuts.
 
-    One aggregate counts rows per slot of the key space. Only the slots that hold a target
-    rank, a 1/``slots`` share of the ids each, are then ordered. Copies of one id are
-    counted together and fall on the same side of a cut.
+    One aggregate counts rows per slot of the key space. A slot that holds a target rank is counted again
+    in ``slots`` parts as long as it has more than ``order_above`` rows, and only then ordered.
+    Copies of one id are counted together and fall on the same side of a cut.
     """
     strata = list(strata)
     rows = df.select(*strata, F.col(id_column).alias("cut_id"), key.column(F.col(id_column)).alias("cut_key"))
-    rows = rows.withColumn("slot", key.slot(F.col("cut_key"), slots))
     per_stratum = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
+    first = key.slot(F.col("cut_key"), slots)
     sizes = (
-        rows.groupBy(*strata, "slot")
-        .agg(F.count(F.lit(1)).alias("n"))
+        rows.groupBy(*strata, first.alias("slot"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("cut_key").alias("low"), F.max("cut_key").alias("high"))
         .withColumn("upto", F.sum("n").over(per_stratum.orderBy("slot")))
         .withColumn("stratum_rows", F.sum("n").over(per_stratum))
     )
+    hit = (F.col("target") > F.col("upto") - F.col("n")) & (F.col("target") <= F.col("upto"))
     hits = small_table(
         sizes.withColumn("target", F.explode(targets(F.col("stratum_rows"))))
-        .filter((F.col("target") > F.col("upto") - F.col("n")) & (F.col("target") <= F.col("upto")))
-        .select(*strata, "slot", "stratum_rows", "target", (F.col("target") - F.col("upto") + F.col("n")).alias("place"))
+        .filter(hit)
+        .select(*strata, "stratum_rows", "target", (F.col("target") - F.col("upto") + F.col("n")).alias("place"), "n", "low", "high")
     )
-    slot_keys = [*strata, "slot"]
-    in_hit_slots = null_safe_join(rows, hits.select(*slot_keys).distinct(), slot_keys)
-    copies = in_hit_slots.groupBy(*slot_keys, "cut_key", "cut_id").agg(F.count(F.lit(1)).alias("n"))
-    placed = copies.withColumn("upto", F.sum("n").over(Window.partitionBy(*slot_keys).orderBy("cut_key", "cut_id")))
-    return (
-        null_safe_join(placed, hits, slot_keys)
-        .filter((F.col("place") > F.col("upto") - F.col("n")) & (F.col("place") <= F.col("upto")))
-        .select(*strata, "stratum_rows", "target", "cut_key", "cut_id")
+    while not hits.filter((F.col("n") > order_above) & (F.col("low") < F.col("high"))).isEmpty():
+        hits = small_table(_narrowed_keys(rows, hits, strata, slots))
+    goal = [*strata, "target"]
+    found = null_safe_join(rows, hits, strata).filter(F.col("cut_key").between(F.col("low"), F.col("high")))
+    copies = found.groupBy(*goal, "stratum_rows", "place", "cut_key", "cut_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = copies.withColumn("upto", F.sum("n").over(Window.partitionBy(*goal).orderBy("cut_key", "cut_id")))
+    return placed.filter((F.col("place") > F.col("upto") - F.col("n")) & (F.col("place") <= F.col("upto"))).select(
+        *strata, "stratum_rows", "target", "cut_key", "cut_id"
+    )
+
+
+def _narrowed_keys(rows: DataFrame, hits: DataFrame, strata: Sequence[str], parts: int) -> DataFrame:
+    """Each key interval shrunk to the one of its equal parts that holds the wanted place."""
+    goal = [*strata, "stratum_rows", "target", "place"]
+    # halves keep differences of 63-bit keys within a long
+    width = (F.col("high") / 2 - F.col("low") / 2) / F.lit(parts)
+    part = F.least(F.floor((F.col("cut_key") - F.col("low")) / 2 / F.greatest(width, F.lit(0.5))), F.lit(parts - 1))
+    counted = (
+        null_safe_join(rows, hits, strata)
+        .filter(F.col("cut_key").between(F.col("low"), F.col("high")))
+        .groupBy(*goal, part.alias("part"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("cut_key").alias("low"), F.max("cut_key").alias("high"))
+        .withColumn("upto", F.sum("n").over(Window.partitionBy(*strata, "target").orderBy("part")))
+    )
+    held = counted.filter((F.col("place") > F.col("upto") - F.col("n")) & (F.col("place") <= F.col("upto")))
+    return held.select(
+        *strata, "stratum_rows", "target", (F.col("place") - F.col("upto") + F.col("n")).alias("place"), "n", "low", "high"
     )
 
 
@@ -92,77 +113,60 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact type-7 quantiles as ``by..., variable, prob, value``; NULL and NaN are skipped.
 
-    Values are counted one by one only inside an interval known to hold the quantile. While
-    an interval holds more than ``narrow_above`` rows, one aggregate counts its rows in
-    ``cells`` equal parts and the part holding the wanted rank becomes the interval. Counts
-    combine before the shuffle, so a round moves at most ``cells`` rows per quantile and task,
-    whatever the distribution; a value repeated by most rows ends as an interval of its own.
+    A quantile lies between two ranks, each looked for by itself. While the interval known to hold a rank has
+    more than ``narrow_above`` rows, one aggregate counts its rows in ``cells`` equal parts and
+    the part with the rank, drawn in to its smallest and largest value, becomes the interval; then
+    its values are counted one by one. Counts combine before the shuffle, so a round moves at most ``cells``
+    rows per rank and task, whatever the distribution.
     """
     group = [*by, "variable"]
+    held = F.greatest(F.least(F.col("value"), F.lit(LARGEST)), F.lit(-LARGEST))  # infinite values at the ends
     long = (
         df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot(list(by), list(columns), "variable", "value")
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        .withColumn("value", held)
     )
     sizes = long.groupBy(*group).agg(
         F.count(F.lit(1)).alias("inside"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    goals = F.explode(
-        F.array(
-            *[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("inside") - 1)).alias("place")) for p in probs]
-        )
-    )
-    state = small_table(
-        sizes.select(*group, "inside", "low", "high", F.lit(0).cast("long").alias("below"), goals.alias("__goal")).select(
-            *group, "__goal.prob", "__goal.place", "inside", "low", "high", "below"
-        )
-    )
-    for _ in range(MAX_NARROWINGS):
-        if state.filter((F.col("inside") > narrow_above) & (F.col("low") < F.col("high"))).isEmpty():
-            break
+    place = lambda p: F.lit(float(p)) * (F.col("inside") - 1)
+    ends = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(p)), F.ceil(place(p))) for p in probs])))
+    whole = sizes.select(*group, F.col("inside").alias("n"), "inside", "low", "high", F.explode(ends).alias("rank"))
+    state = small_table(whole.withColumn("below", F.lit(0).cast("long")))
+    while not state.filter((F.col("inside") > narrow_above) & (F.col("low") < F.col("high"))).isEmpty():
         state = small_table(_narrowed(long, state, group, cells))
     inside = null_safe_join(long, state, group).filter(F.col("value").between(F.col("low"), F.col("high")))
     counts = (
-        inside.groupBy(*group, "prob", "place", "below", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy(*group, "prob").orderBy("value")))
-    )
-    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))
-    return (
-        counts.groupBy(*group, "prob", "place")
-        .agg(at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"))
-        .select(
-            *group,
-            "prob",
-            interpolate(F.col("low"), F.col("high"), F.col("place") - F.floor("place")).alias("value"),
-        )
+        inside.groupBy(*group, "n", "rank", "below", "value")
+        .agg(F.count(F.lit(1)).alias("k"))
+        .withColumn("upto", F.col("below") + F.sum("k").over(Window.partitionBy(*group, "rank").orderBy("value")))
     )
+    at = F.min(F.when(F.col("upto") > F.col("rank"), F.col("value"))).alias("at")
+    found = counts.groupBy(*group, "n", "rank").agg(at).groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "at"))).alias("at"))
+    probs_ = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
+    spot = F.col("prob") * (F.col("n") - 1)
+    value = interpolate(F.col("at")[F.floor(spot)], F.col("at")[F.ceil(spot)], spot - F.floor(spot))
+    endless = F.when(value >= LARGEST, float("inf")).when(value <= -LARGEST, float("-inf")).otherwise(value)
+    return found.select(*group, "n", "at", probs_).select(*group, "prob", endless.alias("value"))
 
 
 def _narrowed(long: DataFrame, state: DataFrame, group: Sequence[str], cells: int) -> DataFrame:
-    """Each interval shrunk to the cells that hold the two ranks around its quantile."""
-    goal = [*group, "prob", "place", "below"]
-    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
+    """Each interval shrunk to the cell that holds its rank."""
+    goal = [*group, "n", "rank", "below"]
+    # halves keep the difference of the largest doubles finite
+    share = (F.col("value") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
     cell = F.when(F.col("low") < F.col("high"), F.least(F.floor(share * F.lit(cells)), F.lit(cells - 1))).otherwise(0)
     counted = (
         null_safe_join(long, state, group)
         .filter(F.col("value").between(F.col("low"), F.col("high")))
         .groupBy(*goal, cell.alias("cell"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy(*group, "prob").orderBy("cell")))
-    )
-    before = F.col("upto") - F.col("n")
-    holds = (F.ceil("place") >= before) & (F.floor("place") < F.col("upto"))
-    return (
-        counted.filter(holds)
-        .groupBy(*group, "prob", "place")
-        .agg(
-            F.sum("n").alias("inside"),
-            F.min("low").alias("low"),
-            F.max("high").alias("high"),
-            F.min(before).alias("below"),
-        )
+        .agg(F.count(F.lit(1)).alias("inside"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .withColumn("upto", F.col("below") + F.sum("inside").over(Window.partitionBy(*group, "rank").orderBy("cell")))
     )
+    before = F.col("upto") - F.col("inside")
+    held = counted.filter((F.col("rank") >= before) & (F.col("rank") < F.col("upto")))
+    return held.select(*group, "n", "inside", "low", "high", "rank", before.alias("below"))
 
 
 def scalar_quantile(df: DataFrame, column: str, prob: float) -> float:

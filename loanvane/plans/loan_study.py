@@ -13,7 +13,6 @@ from loanvane.functions.keys import RandomKey
 from loanvane.functions.names import (
     CATEGORICAL_SHORTLIST,
     NUMERIC_SHORTLIST,
-    columns_to_drop,
     intersect,
     numeric_columns,
     string_columns,
@@ -36,20 +35,18 @@ from loanvane.operators.profile import (
 )
 from loanvane.operators.sampling import stratified_sample, train_test_flag, with_folds
 from loanvane.operators.scores import long_scores, rank_models, score_metrics
-from loanvane.runtime import bounded_rows, small_table, stage_table
+from loanvane.runtime import bounded_rows, small_table
 
 TARGET_ROWS = 120_000
-ROWS_PER_TASK = 50_000
 
-# Wording of the audit trail.
 AUDIT_STEPS = [
-    ("Load raw data", "Loaded the full loan file"),
-    ("Create issue year + status (drop missing year)", "Define default/status; keep non-missing issue_year"),
-    ("Cohort filter (years, completed, non-JOINT, key vars)", "Keep cohort years; completed only; exclude JOINT; add term_60"),
-    ("Stratified sample by (year x default)", "Same share of every stratum"),
-    ("Drop ID/text/leakage vars", "Remove identifiers, leakage and outcome helpers"),
-    ("Feature engineering + factor cleanup", "Create fico_avg; lump rare purpose"),
-    ("Final modelling table", "Keep default, term_60, issue_year and final predictors"),
+    ("Raw loans", "every row of the source"),
+    ("Dated loans", "issue year, status group and outcome added; rows without a year left out"),
+    ("Cohort", "chosen years, finished single-applicant loans with known amount, rate, income and debt ratio"),
+    ("Sample", "the same share of each issue year and outcome"),
+    ("Screened columns", "identifiers, free text and anything known only after issue left out"),
+    ("Features", "mean credit score added, rare purposes merged"),
+    ("Modelling table", "outcome, term flag, issue year and the predictors that passed the profile"),
 ]
 
 
@@ -108,13 +105,14 @@ def features_of(sample: DataFrame, rows: int | None = None) -> DataFrame:
     return lump_rare(features, "purpose", rows=rows) if "purpose" in features.columns else features
 
 
-def packed(df: DataFrame, rows: int) -> DataFrame:
-    """Cached in partitions of at least ``ROWS_PER_TASK`` rows.
+def kept(df: DataFrame) -> DataFrame:
+    """Cached for the many passes of a fit, rows dealt by id over at least all cores: a pass is bound by arithmetic.
 
-    Fits make hundreds of passes; with few rows the tasks of a pass cost more than its work.
-    Large tables have fewer, larger partitions already and stay as they are.
+    No result depends on the number of partitions.
     """
-    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, "id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def build_modelling_data(
@@ -133,7 +131,8 @@ def build_modelling_data(
     sample = stratified_sample(cohort, fraction=counts["share"], key=key)
     base = drop_screened(sample)
     # One pass over the raw loans: every later step reads this narrow table.
-    features = features_of(stage_table(base.select(*feature_columns(base)), "cohort"), counts["sample"])
+    narrow = base.select(*feature_columns(base)).persist(StorageLevel.MEMORY_AND_DISK)
+    features = features_of(narrow, counts["sample"])
     profile = small_table(predictor_profile(features))
     table = modelling_table(features, final_predictors(profile))
     rows = [counts["raw"], counts["year"], counts["cohort"]] + [counts["sample"]] * 4
@@ -179,85 +178,81 @@ def compare_models(
     bag_trees: int = trees.BAG_TREES,
     vote_trees: int = trees.VOTE_TREES,
     forest_trees: int = trees.FOREST_TREES,
-    forest_oob_trees: int | None = None,
-    cart_leaf: int = trees.CART_LEAF,
-    bag_leaf: int = trees.BAG_LEAF,
-    forest_leaf: int = trees.FOREST_LEAF,
-    max_depth: int | None = None,
     fold_key: RandomKey | None = None,
     seed: int = 1363,
     parallelism: int = 8,
 ) -> Comparison:
-    """Fit the six models on the training rows and evaluate them on the same test rows."""
+    """Fit the six models on the training rows and evaluate them on the same test rows.
+
+    One cached table a split holds the design, nominal and ordered vectors of a row, so that scores of
+    all models come from one pass and no join. The forest that is scored is the one whose out-of-bag
+    error and importance are reported.
+    """
     predictors = data.numeric + data.categorical
     require_clean(data.train, predictors)
     require_clean(data.test, predictors)
-    keep = StorageLevel.MEMORY_AND_DISK
-    design, tree_design = data.design, data.tree_design
-    depth = lambda d: min(d, max_depth) if max_depth else d
-    bins = tree_design.max_bins
-
-    folded = with_folds(data.train, key=fold_key)
-    x_train = packed(design.transform(folded, keep=["id", "default", "fold"]), data.rows)
-    x_test = packed(design.transform(data.test), data.rows)
-    logit = linear.fit_logit(x_train)
-    penalties = linear.tune(x_train, "default", alphas, path_length, path_ratio, parallelism=parallelism)
-    by_alpha = linear.fit_alphas(x_train, penalties, parallelism=parallelism)
-    grid = linear.grid_table(penalties, score_metrics(linear.alpha_scores(by_alpha, penalties, x_test)))
+    x_train, x_test = kept(all_features(data, with_folds(data.train, key=fold_key))), kept(all_features(data, data.test))
+    bins = data.tree_design.max_bins
+    mtry = str(trees.default_mtry(len(predictors)))
+
+    view = lambda df, name: df.select("id", "default", *[c for c in df.columns if c == "fold"], F.col(name).alias("features"))
+    design, nominal, ordered = (view(x_train, name) for name in ("design", "nominal", "ordered"))
+    logit = linear.fit_logit(design)
+    penalties = linear.tune(design, "default", alphas, path_length, path_ratio)
+    by_alpha = linear.fit_alphas(design, penalties)
+    grid = linear.grid_table(penalties, score_metrics(linear.alpha_scores(by_alpha, penalties, view(x_test, "design"))))
     penalty = linear.choose(grid)
     enet = by_alpha[[p.alpha for p in penalties].index(penalty.alpha)]
-
-    t_train = packed(tree_design.transform(data.train), data.rows)
-    t_test = packed(tree_design.transform(data.test), data.rows)
-    cart = trees.fit_cart(t_train, bins, depth(trees.CART_DEPTH), cart_leaf)
-    bag = trees.fit_bag(t_train, bag_trees, seed + 6, "all", bins, depth(trees.BAG_DEPTH), bag_leaf, parallelism=parallelism)
-    vote = trees.fit_bag(
-        t_train, vote_trees, seed + 7, "all", bins, depth(trees.VOTE_DEPTH), bag_leaf, parallelism=parallelism
+    cart = trees.fit_cart(nominal, bins)
+    grow = lambda rows, n, k, **kw: trees.fit_bag(rows, n, seed + k, max_bins=bins, parallelism=parallelism, **kw)
+    bag = grow(nominal, bag_trees, 6, cp=trees.CP)
+    vote = grow(nominal, vote_trees, 7, max_depth=trees.VOTE_DEPTH, min_leaf=trees.VOTE_LEAF)
+    forest = grow(
+        ordered, forest_trees, 8, features_per_split=mtry, max_depth=trees.FOREST_DEPTH, min_leaf=trees.FOREST_LEAF
     )
-    o_train = packed(tree_design.transform(data.train, nominal=False), data.rows)
-    o_test = tree_design.transform(data.test, nominal=False)
-    mtry = str(trees.default_mtry(len(predictors)))
-    forest = trees.fit_forest(o_train, forest_trees, mtry, bins, depth(trees.FOREST_DEPTH), forest_leaf, seed=seed + 8)
-    forest_bag = trees.fit_bag(
-        o_train, forest_oob_trees or forest_trees, seed + 8, mtry, bins, depth(trees.FOREST_DEPTH), forest_leaf,
-        parallelism=parallelism,
-    )
-
-    wide = x_test.select("id", F.col("default").alias("y"), "features")
-    wide = linear.score(enet, linear.score(logit, wide, "p_logit"), "p_enet").drop("features")
-    tree_scores = linear.score(cart, t_test.select("id", "features"), "p_cart").drop("features")
-    bagged = trees.mean_vote(trees.tree_votes(bag, t_test, keep=["id"]), "p_bag_custom")
-    voted = trees.mean_vote(trees.tree_votes(vote, t_test, keep=["id"]), "p_bag_ipred", majority=True)
-    forest_scores = linear.score(forest, o_test.select("id", "features"), "p_rf").drop("features")
-    for part in (tree_scores, bagged, voted, forest_scores):
-        wide = wide.join(part, "id")
-    scores = long_scores(wide).persist(keep)
+
+    wide = linear.score(logit, x_test.withColumnRenamed("design", "features"), "p_logit")
+    wide = linear.score(enet, wide, "p_enet").drop("features")
+    wide = linear.score(cart, wide.withColumnRenamed("nominal", "features"), "p_cart")
+    keep = ["id", "default", "ordered", "p_logit", "p_enet", "p_cart", "features"]
+    wide = trees.mean_vote(trees.tree_votes(bag, wide, keep=keep), "p_bag_custom")
+    wide = trees.mean_vote(trees.tree_votes(vote, wide, keep=[*keep, "p_bag_custom"]), "p_bag_ipred", majority=True)
+    wide = wide.drop("features").withColumnRenamed("ordered", "features")
+    scored = ["p_logit", "p_enet", "p_cart", "p_bag_custom", "p_bag_ipred"]
+    wide = trees.mean_vote(trees.tree_votes(forest, wide, keep=["id", "default", *scored]), "p_rf")
+    scores = kept(long_scores(wide.select("id", F.col("default").alias("y"), *scored, "p_rf")))
     metrics = rank_models(score_metrics(scores))
 
-    bag_oob = trees.out_of_bag(trees.tree_votes(bag, t_train), len(bag), seed + 6).persist(keep)
+    bag_oob = kept(trees.out_of_bag(trees.tree_votes(bag, nominal), len(bag), seed + 6))
     path = oob_ops.oob_error_path(bag_oob)
-    vote_oob = oob_ops.oob_scores(
-        trees.out_of_bag(trees.tree_votes(vote, t_train), len(vote), seed + 7), majority=True
-    )
-    forest_oob = oob_ops.oob_scores(
-        trees.out_of_bag(trees.tree_votes(forest_bag, o_train), len(forest_bag), seed + 8)
-    )
-    as_scores = lambda df, name: df.select(
-        "id", "y", F.lit(name).alias("model"), F.col("oob_prob").alias("p_hat")
-    )
-    sets = [("custom", oob_ops.oob_scores(bag_oob)), ("ipred", vote_oob), ("forest", forest_oob)]
-    stacked = as_scores(sets[0][1], "custom")
-    for name, df in sets[1:]:
-        stacked = stacked.unionByName(as_scores(df, name))
-    oob_metrics = score_metrics(stacked).persist(keep)
+    vote_oob = trees.out_of_bag(trees.tree_votes(vote, nominal), len(vote), seed + 7)
+    forest_oob = trees.out_of_bag(trees.tree_votes(forest, ordered), len(forest), seed + 8)
+    sets = [("custom", bag_oob, False), ("ipred", vote_oob, True), ("forest", forest_oob, False)]
+    stacked = None
+    for name, votes, majority in sets:
+        part = oob_ops.oob_scores(votes, majority=majority).select("id", "y", F.lit(name).alias("model"), F.col("oob_prob").alias("p_hat"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    oob_metrics = small_table(score_metrics(stacked))
     found = {r["model"]: r for r in oob_metrics.collect()}
     others = [
-        ("ipred", vote_trees, found["ipred"]["error"], None),
-        ("forest", forest_trees, found["forest"]["error"], found["forest"]["brier"]),
+        ("ipred", len(vote), found["ipred"]["error"], None),
+        ("forest", len(forest), found["forest"]["error"], found["forest"]["brier"]),
     ]
-    report = oob_ops.oob_report(oob_ops.oob_summary(path), oob_metrics.filter("model = 'custom'"), others)
-    importance = trees.importance_table(forest, tree_design.names, data.train.sparkSession)
-    return Comparison(scores, metrics, grid, penalty, report, path, importance)
+    report = small_table(oob_ops.oob_report(oob_ops.oob_summary(path), oob_metrics.filter("model = 'custom'"), others))
+    importance = trees.importance_table(forest, data.tree_design.names, data.train.sparkSession)
+    result = Comparison(scores, small_table(metrics), small_table(grid), penalty, report, small_table(path), importance)
+    for table in (x_train, bag_oob):
+        table.unpersist()
+    return result
+
+
+def all_features(data: SplitData, rows: DataFrame) -> DataFrame:
+    """Row keys with the one-hot design, and the tree features with nominal and with ordered levels."""
+    extra = [c for c in rows.columns if c == "fold"]
+    predictors = [*data.numeric, *data.categorical]
+    out = data.design.transform(rows, "design", ["id", "default", *extra, *predictors])
+    out = data.tree_design.transform(out, "nominal", ["id", "default", *extra, "design", *predictors])
+    return data.tree_design.transform(out, "ordered", ["id", "default", *extra, "design", "nominal"], nominal=False)
 
 
 def estimate_effects(
@@ -267,7 +262,6 @@ def estimate_effects(
     path_ratio: float = linear.PATH_RATIO,
     defensible: bool = False,
     key: RandomKey | None = None,
-    parallelism: int = 8,
 ) -> DataFrame:
     """Naive and cross-fitted effects of a long term and of a high rate on the training rows.
 
@@ -278,12 +272,7 @@ def estimate_effects(
     for treatment, source in (("term_60", ["term"]), ("high_rate", ["int_rate"])):
         result = estimate_effect(
             marked, data.imputer, data.numeric, data.categorical, treatment,
-            exclude=source if defensible else (), tasks=-(-data.rows // ROWS_PER_TASK), alpha=alpha, path_length=path_length, path_ratio=path_ratio, key=key,
-            parallelism=parallelism,
+            exclude=source if defensible else (), alpha=alpha, path_length=path_length, path_ratio=path_ratio, key=key,
         )
         parts.append(effect_rows(treatment, result.naive, result.estimate))
     return effect_table(parts)
-
-
-def screened_columns(loans: DataFrame) -> list[str]:
-    return columns_to_drop(loans.columns)

@@ -1,18 +1,15 @@
-"""Session-level helpers: settings, size-checked small tables, staged tables."""
+"""Session-level helpers: settings and size-checked small tables."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
-# Rows up to which a result counts as small enough for the driver and for a broadcast.
+# Rows and bytes up to which a result counts as small enough for the driver and for a broadcast.
 SMALL_TABLE_ROWS = 100_000
-
-_local_roots: dict[str, str] = {}
+SMALL_TABLE_BYTES = 32 << 20
 
 
 def tuned_session(app_name: str = "loanvane", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,16 +34,21 @@ def tuned_session(app_name: str = "loanvane", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def small_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Evaluate ``df`` once if it has at most ``limit`` rows and hand it back as local data.
+def small_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS, max_bytes: int = SMALL_TABLE_BYTES) -> DataFrame:
+    """Evaluate ``df`` once; a result within both bounds is handed back as local data.
 
-    A local relation has known size, so Catalyst broadcasts it by itself. A larger result
-    is returned unevaluated and joins to it stay shuffle joins.
+    A local relation has known size, so Catalyst broadcasts it by itself. Rows come to the
+    driver partition by partition and stop at the limit. A larger result is handed back as the cached
+    table that was read from, so joins to it stay shuffle joins and nothing is computed twice.
     """
-    table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return df
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = held.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        table = pa.Table.from_pylist([r.asDict(recursive=True) for r in rows], schema=to_arrow_schema(df.schema))
+        if table.nbytes <= max_bytes:
+            held.unpersist()
+            return df.sparkSession.createDataFrame(table, schema=df.schema)
+    return held
 
 
 def bounded_rows(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> list:
@@ -55,32 +57,3 @@ def bounded_rows(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> list:
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows where a small table was expected")
     return rows
-
-
-def stage_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables: ``spark.checkpoint.dir`` of the session.
-
-    A local session without that setting gets its own temporary folder; a cluster
-    session without it is refused, as executors need a folder they all see.
-    """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="loanvane-")
-        atexit.register(shutil.rmtree, _local_roots[app], True)
-    return _local_roots[app]
-
-
-def stage_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as parquet under the staging folder and read it back.
-
-    Cuts lineage in a way that survives lost executors, and later reads prune columns.
-    """
-    path = f"{stage_root(df.sparkSession)}/loanvane/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

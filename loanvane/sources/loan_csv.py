@@ -11,19 +11,21 @@ from pyspark.sql import types as T
 from loanvane.functions.names import EXTRA_LEAKAGE, NUMERIC_SHORTLIST
 
 
+RECORDS_PER_FILE = 5_000_000
+
+
 def declared_type(name: str) -> T.DataType:
     """Double for known amounts, rates and counts; text for everything else."""
     return T.DoubleType() if name in NUMERIC_SHORTLIST or name in EXTRA_LEAKAGE else T.StringType()
 
 
 def read_loans(
-    spark: SparkSession, path: str, types: Mapping[str, T.DataType] | None = None, multiline: bool = True
+    spark: SparkSession, path: str, types: Mapping[str, T.DataType] | None = None, multiline: bool = False
 ) -> DataFrame:
     """Read loan CSV files. Blank text and ``NA`` become NULL, blanks around values are trimmed.
 
-    Only the header line is read to plan. Free-text fields may hold quoted line breaks, so
-    a file is one task by default: supply many files, or set ``multiline=False`` for files
-    without line breaks in fields, which Spark then splits.
+    Only the header line is read to plan. Files are split into tasks at line ends; set ``multiline=True``
+    for files whose text fields hold quoted line breaks, each of which is then one task.
     """
     layout = {"header": True, "escape": '"', "multiLine": multiline}
     trims = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
@@ -39,9 +41,9 @@ def read_loans(
 def write_loan_table(loans: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet table for repeat runs, partitioned by issue year when the column is there."""
     if "issue_year" in loans.columns:
-        # A few hashed slots per year spread each year over several tasks and bound the file count.
-        slots = F.pmod(F.xxhash64(*loans.columns[:1]), F.lit(32))
-        loans.repartition("issue_year", slots).write.mode(mode).partitionBy("issue_year").parquet(path)
+        # Rebalancing brings a year's rows together and splits or joins partitions by their bytes.
+        spread = loans.hint("rebalance", "issue_year")
+        spread.write.mode(mode).option("maxRecordsPerFile", RECORDS_PER_FILE).partitionBy("issue_year").parquet(path)
     else:
         loans.write.mode(mode).parquet(path)
 

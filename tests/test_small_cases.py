@@ -186,9 +186,49 @@ def test_density_integrates_to_one(spark):
 
 
 def test_density_cells_agree_with_exact(spark):
-    rows = [(i, i % 2, 0.1 + 0.8 * ((i * 37) % 101) / 101) for i in range(400)]
-    df = spark.createDataFrame([(i, y, "m", p) for i, y, p in rows], "id long, y int, model string, p_hat double")
-    exact = scores.score_density(df, points=64).toPandas().sort_values(["y", "x"])
-    cells = scores.score_density(df, points=64, exact_limit=0, cells=4096).toPandas().sort_values(["y", "x"])
-    assert max(abs(a - b) for a, b in zip(exact.density, cells.density)) < 1e-5 * exact.density.max() + 1e-6
-    assert not math.isnan(cells.density.sum())
+    rows = [(i, i % 2, "m", 0.1 + 0.8 * ((i * 37) % 101) / 101) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, y int, model string, p_hat double")
+    found = scores.score_density(df, points=64).toPandas()
+    for y in (0, 1):
+        p = sorted(r[3] for r in rows if r[1] == y)
+        n, mean = len(p), sum(p) / len(p)
+        at = lambda q: p[int(q)] + (p[min(int(q) + 1, n - 1)] - p[int(q)]) * (q - int(q))  # noqa: E731, B023
+        sd = math.sqrt(sum((v - mean) ** 2 for v in p) / (n - 1))
+        h = 0.9 * 1.1 * min(sd, (at(0.75 * (n - 1)) - at(0.25 * (n - 1))) / 1.34) * n**-0.2
+        part = found[found.y == y]
+        exact = [sum(math.exp(-(((x - v) / h) ** 2) / 2) for v in p) / (n * h * math.sqrt(2 * math.pi)) for x in part.x]
+        assert max(abs(a - b) for a, b in zip(exact, part.density)) < 1e-4 * max(exact)
+
+
+def test_student_p_values_at_any_size():
+    assert scalars.student_p_value(4.0, 101) == pytest.approx(1.20813e-4, rel=1e-4)
+    for df in (1, 2, 7, 100):
+        for t in (0.0, 0.3, 2.0, 6.0):
+            assert scalars.student_p_value(t, df) == pytest.approx(1 - scalars.student_cdf_two_sided(t, df), abs=1e-12)
+    assert scalars.student_p_value(1.959963984540054, 10**9) == pytest.approx(0.05, rel=1e-6)
+
+
+def test_bootstrap_counts_have_no_low_cap(spark):
+    from loanvane.functions.keys import MOST_DRAWS, RandomKey, poisson_weight
+
+    class Last(RandomKey):
+        def column(self, id_column):
+            return (F.lit(self.space) - 2048.0).cast("long")
+
+    assert spark.range(1).select(poisson_weight(F.col("id"), 1, 1, key=Last(1)).alias("w")).head()["w"] > 15 and MOST_DRAWS == 21
+
+
+def test_ranks_are_the_same_however_narrow_the_slots(spark):
+    from loanvane.functions.keys import RandomKey
+    from loanvane.operators.order_stats import rank_cuts
+
+    df = spark.range(3000).withColumn("g", F.col("id") % 3)
+    cuts = lambda **kw: sorted(map(tuple, rank_cuts(df, ["g"], lambda n: F.array(F.lit(1), F.floor(n / 3), n), RandomKey(5), **kw).collect()))
+    assert cuts() == cuts(slots=2, order_above=4) == cuts(slots=7, order_above=1)
+
+
+def test_quantiles_with_infinite_values(spark):
+    rows = [(float("inf"),), (float("-inf"),), (1.0,), (2.0,), (3.0,)]
+    df = spark.createDataFrame(rows, "v double")
+    found = {r["prob"]: r["value"] for r in exact_quantiles(df, ["v"], [0.0, 0.5, 1.0], narrow_above=0, cells=4).collect()}
+    assert found == {0.0: float("-inf"), 0.5: 2.0, 1.0: float("inf")}

@@ -4,7 +4,7 @@ import pytest
 
 from loanvane.operators.cohort import label_loans
 from loanvane.plans import loan_study
-from loanvane.runtime import bounded_rows, small_table, stage_root, stage_table
+from loanvane.runtime import bounded_rows, small_table
 from loanvane.sources import loan_csv, reports
 from loanvane.sources.loan_view import VIEW_YEARS, loan_view
 
@@ -24,7 +24,7 @@ def loan_file(tmp_path):
 
 
 def test_csv_scan(spark, loan_file):
-    df = loan_csv.read_loans(spark, loan_file)
+    df = loan_csv.read_loans(spark, loan_file, multiline=True)
     assert dict(df.dtypes)["loan_amnt"] == "double" and dict(df.dtypes)["odd"] == "string"
     rows = {r["id"]: r for r in df.collect()}
     assert len(rows) == 3
@@ -35,7 +35,7 @@ def test_csv_scan(spark, loan_file):
 
 
 def test_loan_table_round_trip(spark, loan_file, tmp_path):
-    labelled = label_loans(loan_csv.read_loans(spark, loan_file))
+    labelled = label_loans(loan_csv.read_loans(spark, loan_file, multiline=True))
     loan_csv.write_loan_table(labelled, str(tmp_path / "table"))
     back = loan_csv.read_loan_table(spark, str(tmp_path / "table"))
     assert {(r["id"], r["issue_year"], r["default_prelim"]) for r in back.collect()} == {("1", "2015", 0), ("2", "2014", 1)}
@@ -55,14 +55,16 @@ def test_report_output(spark, tmp_path):
 
 def test_small_table_size_check(spark):
     assert "LocalTableScan" in small_table(spark.range(10).selectExpr("id * 2 AS x"))._jdf.queryExecution().executedPlan().toString()
-    assert "Range" in small_table(spark.range(10), limit=5)._jdf.queryExecution().executedPlan().toString()
+    for large in (small_table(spark.range(10), limit=5), small_table(spark.range(10), max_bytes=8)):
+        assert large.is_cached and large.count() == 10
+        large.unpersist()
     with pytest.raises(ValueError):
         bounded_rows(spark.range(10), 5)
 
 
-def test_staged_table(spark):
-    df = stage_table(spark.range(5).selectExpr("id", "id + 1 AS next"), "probe")
-    assert df.count() == 5 and df.inputFiles()[0].startswith(f"file://{stage_root(spark)}/loanvane/probe-")
+def test_no_query_input_is_copied(spark):
+    plan = loan_view(spark, SF).select("id", "grade")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_quantity" not in plan.split("Relation")[0] and "Repartition" not in plan
 
 
 def test_modelling_table(spark):
