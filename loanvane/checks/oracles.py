@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanvane.sources.loan_view import LOAN_SQL
+from loanvane.sources.loan_view import LOAN_SQL, VIEW_CATEGORICAL, VIEW_NUMERIC
 
 LOANS = (
     LOAN_SQL.replace("{issue_d}", "strftime(o_orderdate, '%b-%Y')")
@@ -360,7 +360,7 @@ ranked AS (SELECT id, row_number() OVER (ORDER BY {draw(307)}, id) - 1 AS place,
         SPLIT,
         stacked(
             "SELECT '{c}' AS variable, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median FROM split WHERE is_train",
-            ["term_60", "mths_since_last_delinq", "delinq_2yrs", "revol_bal", "loan_amnt"],
+            VIEW_NUMERIC,
         ),
     ),
     "train_levels": query(
@@ -369,20 +369,20 @@ ranked AS (SELECT id, row_number() OVER (ORDER BY {draw(307)}, id) - 1 AS place,
             """SELECT '{c}' AS variable, level, row_number() OVER (ORDER BY level) - 1 AS level_idx
   FROM (SELECT DISTINCT {c} AS level FROM split WHERE is_train AND {c} IS NOT NULL)
 UNION ALL SELECT '{c}', 'Unknown', count(DISTINCT {c}) FROM split WHERE is_train""",
-            ["term", "emp_length", "application_type", "fico_bin"],
+            VIEW_CATEGORICAL,
         ),
     ),
     "impute_apply": query(
         SPLIT,
         "SELECT CAST(id AS BIGINT) AS id, "
         + ", ".join(
-            f"round(CAST(coalesce({c}, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM split WHERE is_train)) AS DOUBLE), 6) AS {c}"
-            for c in ("term_60", "mths_since_last_delinq", "delinq_2yrs")
+            f"round(floor(CAST(coalesce({c}, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM split WHERE is_train)) AS DOUBLE) * 1000 + 0.4321::DOUBLE) / 1000, 6) AS {c}"
+            for c in VIEW_NUMERIC
         )
         + ", "
         + ", ".join(
             f"CASE WHEN {c} IN (SELECT {c} FROM split WHERE is_train) THEN {c} ELSE 'Unknown' END AS {c}"
-            for c in ("term", "emp_length", "application_type", "fico_bin")
+            for c in VIEW_CATEGORICAL
         )
         + " FROM split",
     ),
@@ -397,7 +397,7 @@ FROM celled WHERE NOT is_train""",
 UNION ALL """
         + stacked(
             "SELECT '{c} missing' AS check_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS violations FROM split",
-            ["term_60", "int_rate", "emp_length", "mths_since_last_delinq", "fico_bin"],
+            VIEW_NUMERIC + VIEW_CATEGORICAL,
         ),
     ),
     "dq_checks_imputed": query(
@@ -406,18 +406,22 @@ UNION ALL """
 UNION ALL """
         + stacked(
             "SELECT '{c} missing' AS check_name, CAST(count(*) FILTER (WHERE false) AS BIGINT) AS violations FROM split",
-            ["term_60", "mths_since_last_delinq", "delinq_2yrs", "term", "emp_length", "application_type", "fico_bin"],
+            VIEW_NUMERIC + VIEW_CATEGORICAL,
         ),
     ),
     "design_totals": query(
         f"{SPLIT},\ntrain AS (SELECT * FROM split WHERE is_train)",
-        "SELECT 'term_60' AS feature, round(sum(coalesce(term_60, (SELECT quantile_cont(CAST(term_60 AS DOUBLE), 0.5) FROM train))), 4) AS total FROM train\n"
-        "UNION ALL SELECT 'int_rate', round(sum(int_rate), 4) FROM train UNION ALL SELECT 'dti', round(sum(dti), 4) FROM train\nUNION ALL "
+        stacked(
+            """SELECT '{c}' AS feature, round(sum(coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM train))), 2) AS total
+FROM train""",
+            VIEW_NUMERIC,
+        )
+        + "\nUNION ALL "
         + stacked(
             """SELECT '{c}=' || level, CAST(n AS DOUBLE) FROM (SELECT {c} AS level, count(*) AS n, row_number() OVER (ORDER BY {c}) AS r
     FROM train WHERE {c} IS NOT NULL GROUP BY {c}) WHERE r > 1
 UNION ALL SELECT '{c}=Unknown', CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) FROM train""",
-            ["grade", "emp_length", "fico_bin"],
+            VIEW_CATEGORICAL,
         ),
     ),
     "high_rate_treatment": query(

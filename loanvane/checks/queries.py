@@ -28,17 +28,15 @@ from loanvane.sources.loan_view import (
     SAMPLE_KEY,
     SPLIT_KEY,
     TIE_KEY,
+    VIEW_CATEGORICAL,
     VIEW_MIN_BIN_ROWS,
+    VIEW_NUMERIC,
     VIEW_YEARS,
     loan_view,
 )
 
 SAMPLE_FRACTION = 0.6
 DECIMALS = 6
-IMPUTED_NUMERIC = ["term_60", "mths_since_last_delinq", "delinq_2yrs"]
-IMPUTED_CATEGORICAL = ["term", "emp_length", "application_type", "fico_bin"]
-DESIGN_NUMERIC = ["term_60", "int_rate", "dti"]
-DESIGN_CATEGORICAL = ["grade", "emp_length", "fico_bin"]
 OOB_TREES = 12
 MAYBE_MISSING = ["term_60", "rows_removed", "cols_dropped", "cols_added"]
 
@@ -312,17 +310,19 @@ def kfold_assign(spark, sf):
 
 def train_medians(spark, sf):
     train = split_of(spark, sf).filter("is_train")
-    return rounded(prep.train_medians(train, ["term_60", "mths_since_last_delinq", "delinq_2yrs", "revol_bal", "loan_amnt"]))
+    return rounded(prep.train_medians(train, VIEW_NUMERIC))
 
 
 def train_levels(spark, sf):
-    return rounded(prep.fit_levels(split_of(spark, sf).filter("is_train"), IMPUTED_CATEGORICAL))
+    return rounded(prep.fit_levels(split_of(spark, sf).filter("is_train"), VIEW_CATEGORICAL))
 
 
 def impute_apply(spark, sf):
     split = split_of(spark, sf)
-    imputer = prep.Imputer.fit(split.filter("is_train"), IMPUTED_NUMERIC, IMPUTED_CATEGORICAL)
-    return rounded(imputer.transform(split).select("id", *IMPUTED_NUMERIC, *IMPUTED_CATEGORICAL))
+    imputer = prep.Imputer.fit(split.filter("is_train"), VIEW_NUMERIC, VIEW_CATEGORICAL)
+    filled = imputer.transform(split).select("id", *VIEW_NUMERIC, *VIEW_CATEGORICAL)
+    # three digits, cut where no value of the book lies, so that engines cannot round a tie apart
+    return rounded(filled.withColumns({c: F.floor(F.col(c) * 1000 + 0.4321) / 1000 for c in VIEW_NUMERIC}))
 
 
 def unseen_levels(spark, sf):
@@ -335,26 +335,26 @@ def unseen_levels(spark, sf):
 
 def dq_checks(spark, sf):
     split = split_of(spark, sf)
-    return prep.quality_checks(split, ["term_60", "int_rate", "emp_length", "mths_since_last_delinq", "fico_bin"])
+    return prep.quality_checks(split, VIEW_NUMERIC + VIEW_CATEGORICAL)
 
 
 def dq_checks_imputed(spark, sf):
     split = split_of(spark, sf)
-    imputer = prep.Imputer.fit(split.filter("is_train"), IMPUTED_NUMERIC, IMPUTED_CATEGORICAL)
-    return prep.quality_checks(imputer.transform(split), IMPUTED_NUMERIC + IMPUTED_CATEGORICAL)
+    imputer = prep.Imputer.fit(split.filter("is_train"), VIEW_NUMERIC, VIEW_CATEGORICAL)
+    return prep.quality_checks(imputer.transform(split), VIEW_NUMERIC + VIEW_CATEGORICAL)
 
 
 def design_totals(spark, sf):
     """Column totals of the one-hot design over training rows."""
     split = split_of(spark, sf)
-    imputer = prep.Imputer.fit(split.filter("is_train"), DESIGN_NUMERIC, DESIGN_CATEGORICAL)
-    design = prep.Design.fit(imputer, DESIGN_NUMERIC, DESIGN_CATEGORICAL)
+    imputer = prep.Imputer.fit(split.filter("is_train"), VIEW_NUMERIC, VIEW_CATEGORICAL)
+    design = prep.Design.fit(imputer, VIEW_NUMERIC, VIEW_CATEGORICAL)
     vectors = design.transform(imputer.transform(split.filter("is_train")), keep=["id"])
     total = linear.Summarizer.metrics("sum").summary(F.col("features"))["sum"]
     values = vectors.select(linear.vector_to_array(total).alias("v"))
     names = F.array(*[F.lit(n) for n in design.names])
     pairs = values.select(F.explode(F.arrays_zip(names.alias("feature"), F.col("v"))).alias("p"))
-    return pairs.select(F.col("p.feature").alias("feature"), F.round(F.col("p.v"), 4).alias("total"))
+    return pairs.select(F.col("p.feature").alias("feature"), F.round(F.col("p.v"), 2).alias("total"))
 
 
 def high_rate_treatment(spark, sf):

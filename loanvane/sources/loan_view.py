@@ -14,6 +14,13 @@ from loanvane.functions.keys import RandomKey
 VIEW_YEARS = ["1996", "1997", "1998", "1999"]
 VIEW_MIN_BIN_ROWS = 20
 
+# Predictors of the stand-in study.
+VIEW_NUMERIC = [
+    "loan_amnt", "int_rate", "installment", "annual_inc", "dti", "fico_avg", "revol_bal", "mths_since_last_delinq", "delinq_2yrs", "term_60",
+]
+VIEW_CATEGORICAL = [
+    "term", "grade", "sub_grade", "home_ownership", "emp_length", "purpose", "application_type", "issue_year", "fico_bin",
+]
 # Keys other engines can repeat, for results compared across engines.
 SAMPLE_KEY = RandomKey(101, portable=True)
 SPLIT_KEY = RandomKey(211, portable=True)
