@@ -328,9 +328,8 @@ def impute_apply(spark, sf):
 def unseen_levels(spark, sf):
     """Region-by-month cells of test loans, those never seen in training set to Unknown."""
     split = split_of(spark, sf).withColumn("cell", F.concat_ws("-", "zip_code", "issue_d"))
-    levels = prep.Imputer.fit(split.filter("is_train"), [], ["cell"]).levels["cell"]
-    test = split.filter("not is_train")
-    return test.select("id", prep.align_level(F.col("cell"), levels).alias("cell"))
+    seen = prep.seen_levels(split.filter("is_train"), ["cell"])
+    return prep.align_by_join(split.filter("not is_train").select("id", "cell"), "cell", seen)
 
 
 def dq_checks(spark, sf):

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanvane.functions.names import numeric_columns, string_columns
@@ -15,26 +15,38 @@ from loanvane.operators.order_stats import exact_quantiles
 from loanvane.runtime import bounded_rows
 
 UNKNOWN = "Unknown"
-MAX_LEVELS = 10_000
+# Columns with more levels are aligned by a join with the level table, and cannot enter a one-hot design.
+LISTED_LEVELS = 1_000
 NOT_PREDICTORS = ("id", "default", "is_train", "fold")
 
 
-def fit_levels(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sorted levels seen in training: ``(variable, level, level_idx)``, ``Unknown`` last.
-
-    Refuses more than ``MAX_LEVELS`` distinct levels, which no one-hot design could hold.
-    """
-    seen = (
+def seen_levels(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct ``(variable, level)`` of the training rows, without missing values."""
+    return (
         train.select(*columns)
         .unpivot([], list(columns), "variable", "level")
         .filter(F.col("level").isNotNull() & (F.col("level") != UNKNOWN))
         .distinct()
     )
-    levels: dict[str, list[str]] = {c: [] for c in columns}
-    for r in bounded_rows(seen, MAX_LEVELS):
-        levels[r["variable"]].append(r["level"])
-    rows = [(c, lv, i) for c, lvs in levels.items() for i, lv in enumerate([*sorted(lvs), UNKNOWN])]
-    return train.sparkSession.createDataFrame(rows, "variable string, level string, level_idx int")
+
+
+def fit_levels(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sorted levels seen in training: ``(variable, level, level_idx)``, ``Unknown`` last; any number of levels."""
+    seen = seen_levels(train, columns)
+    place = F.row_number().over(Window.partitionBy("variable").orderBy("level")) - 1
+    names = train.sparkSession.createDataFrame([(c,) for c in columns], "variable string")
+    counts = seen.groupBy("variable").agg(F.count(F.lit(1)).cast("int").alias("level_idx"))
+    last = names.join(counts, "variable", "left").select(
+        "variable", F.lit(UNKNOWN).alias("level"), F.coalesce("level_idx", F.lit(0)).alias("level_idx")
+    )
+    return seen.select("variable", "level", place.alias("level_idx")).unionByName(last)
+
+
+def align_by_join(df: DataFrame, column: str, seen: DataFrame) -> DataFrame:
+    """``column`` of ``df`` with levels that ``seen`` (variable, level) does not list set to ``Unknown``, by a left join."""
+    known = seen.filter(F.col("variable") == column).select(F.col("level").alias("__seen")).distinct()
+    value = F.when(F.col("__seen").isNotNull(), F.col(column)).otherwise(F.lit(UNKNOWN))
+    return df.join(known, F.col(column) == F.col("__seen"), "left").withColumn(column, value).drop("__seen")
 
 
 def train_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -46,21 +58,29 @@ def train_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 class Imputer:
     """Medians and levels fitted on training rows; apply to either split.
 
-    Level lists are bounded by ``MAX_LEVELS`` per fit, so they travel as literals.
+    Levels of columns with at most ``LISTED_LEVELS`` are lists; those of other columns stay in the table ``many``.
+    Both give the same values.
     """
 
     medians: Mapping[str, float]
     levels: Mapping[str, list[str]] = field(default_factory=dict)
+    many: DataFrame | None = None
+    many_columns: tuple[str, ...] = ()
 
     @classmethod
     def fit(cls, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Imputer:
         medians = {r["variable"]: r["median"] for r in bounded_rows(train_medians(train, numeric))} if numeric else {}
-        levels: dict[str, list[str]] = {c: [] for c in categorical}
-        if categorical:
-            found = bounded_rows(fit_levels(train, categorical), MAX_LEVELS)
-            for r in sorted(found, key=lambda r: (r["variable"], r["level_idx"])):
-                levels[r["variable"]].append(r["level"])
-        return cls(medians, levels)
+        if not categorical:
+            return cls(medians)
+        seen = seen_levels(train, categorical)
+        counts = {r["variable"]: r["n"] for r in seen.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
+        many = tuple(c for c in categorical if counts.get(c, 0) > LISTED_LEVELS)
+        listed = [c for c in categorical if c not in many]
+        levels: dict[str, list[str]] = {c: [] for c in listed}
+        for r in seen.filter(F.col("variable").isin(listed)).collect() if listed else []:
+            levels[r["variable"]].append(r["level"])
+        levels = {c: [*sorted(found), UNKNOWN] for c, found in levels.items()}
+        return cls(medians, levels, seen.filter(F.col("variable").isin(list(many))) if many else None, many)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Missing numerics take the training median; missing or unseen levels become ``Unknown``.
@@ -75,7 +95,10 @@ class Imputer:
 
         out = {c: filled(c, m) for c, m in self.medians.items()}
         out |= {c: align_level(F.col(c), seen) for c, seen in self.levels.items()}
-        return df.withColumns(out)
+        aligned = df.withColumns(out)
+        for c in self.many_columns:
+            aligned = align_by_join(aligned, c, self.many)
+        return aligned
 
 
 def align_level(value: Column, levels: Sequence[str]) -> Column:
@@ -131,6 +154,9 @@ class Design:
     @classmethod
     def fit(cls, imputer: Imputer, numeric: Sequence[str], categorical: Sequence[str], exclude: Iterable[str] = ()) -> Design:
         held = set(exclude)
+        wide = [c for c in imputer.many_columns if c in set(categorical) - held]
+        if wide:
+            raise ValueError(f"too many levels for a one-hot design: {', '.join(wide)}")
         used = {c: list(imputer.levels[c]) for c in categorical if c not in held}
         return cls(tuple(c for c in numeric if c not in held), used)
 

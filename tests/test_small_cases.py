@@ -232,3 +232,16 @@ def test_quantiles_with_infinite_values(spark):
     df = spark.createDataFrame(rows, "v double")
     found = {r["prob"]: r["value"] for r in exact_quantiles(df, ["v"], [0.0, 0.5, 1.0], narrow_above=0, cells=4).collect()}
     assert found == {0.0: float("-inf"), 0.5: 2.0, 1.0: float("inf")}
+
+
+def test_levels_listed_or_joined(spark, monkeypatch):
+    train = spark.createDataFrame([(i, f"v{i % 40}", "a" if i % 2 else None) for i in range(200)], "id long, c string, d string")
+    test = spark.createDataFrame([(1, "v3", "a"), (2, "new", "b"), (3, None, None), (4, "Unknown", "a")], "id long, c string, d string")
+    aligned = lambda: sorted(map(tuple, prep.Imputer.fit(train, [], ["c", "d"]).transform(test).collect()))
+    listed = aligned()
+    monkeypatch.setattr(prep, "LISTED_LEVELS", 5)
+    assert aligned() == listed == [(1, "v3", "a"), (2, "Unknown", "Unknown"), (3, "Unknown", "Unknown"), (4, "Unknown", "a")]
+    with pytest.raises(ValueError):
+        prep.Design.fit(prep.Imputer.fit(train, [], ["c"]), [], ["c"])
+    many = spark.range(12_000).select(F.col("id").cast("string").alias("c"))
+    assert prep.fit_levels(many, ["c"]).count() == 12_001
