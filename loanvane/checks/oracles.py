@@ -253,6 +253,11 @@ WHERE issue_year IN ('1996', '1997', '1998', '1999') GROUP BY issue_year, applic
         COHORT,
         f"""SELECT issue_year, {big('"default"', '"default"')}, {big('count(*)', 'n')},
   {six('count(*) / sum(count(*)) OVER ()', 'share')} FROM cohort GROUP BY issue_year, "default" """,
+    ),
+    "outcome_share": query(
+        COHORT,
+        f"""SELECT CASE "default" WHEN 0 THEN 'No default' WHEN 1 THEN 'Default' END AS outcome, {big('count(*)', 'n')},
+  {six('count(*) / sum(count(*)) OVER ()', 'share')} FROM cohort GROUP BY "default" """,
     ),
     "shape_log": query(
         cohort_cte(),

@@ -179,6 +179,12 @@ def group_share(spark, sf):
     return rounded(describe.group_share(cohort_of(spark, sf), ["issue_year", "default"]))
 
 
+def outcome_share(spark, sf):
+    """Share of each outcome under its display label."""
+    rows = cohort_of(spark, sf)
+    return rounded(describe.group_share(rows.withColumn("outcome", describe.label_flag(F.col("default"), describe.OUTCOME_LABELS)), ["outcome"]))
+
+
 def shape_log(spark, sf):
     loans = loans_of(spark, sf)
     labelled = cohort_ops.label_loans(loans)
@@ -560,7 +566,7 @@ def dml_enet(spark, sf):
 
 ORDER = [
     vintage_summary, mean_vintage_rate, volume_line, app_type_counts, status_top20, loan_labels, cohort_rows,
-    cohort_prefix_option, year_default_pivot, group_share, shape_log, rate_by_grade_term, rate_by_int_bin,
+    cohort_prefix_option, year_default_pivot, group_share, outcome_share, shape_log, rate_by_grade_term, rate_by_int_bin,
     max_bin_rate, risk_surface, report_texts, fico_bins, lump_purpose, var_flags, flag_crosstab, model_base_columns,
     missing_profile, sd_profile, dominant_share, final_predictors, audit_trail, quantile75, strat_sample,
     train_test_split, train_semi_join, split_balance, kfold_assign, train_medians, train_levels, impute_apply,

@@ -14,6 +14,7 @@ MIN_BIN_ROWS = 200
 # Display labels.
 TERM_LABELS = {0: "36 months", 1: "60 months"}
 TERM_PANEL_LABELS = {0: "36-month loans", 1: "60-month loans"}
+OUTCOME_LABELS = {0: "No default", 1: "Default"}
 
 
 def label_flag(flag: Column, labels: dict[int, str]) -> Column:
