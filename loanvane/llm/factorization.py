@@ -17,7 +17,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanvane.llm.shared import WordHashes, crc_fold, key_hash, stage, text_bytes
+from loanvane.llm.shared import WordHashes, crc_fold, key_hash, release_memory, stage, text_bytes
 
 BUCKET_BITS = 20
 PREFIXES = (4, 5, 6)
@@ -139,5 +139,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, limit
         for batch in batches:
             scores = np.array([machine.score(x.as_py()) for x in batch.column("text")])
             yield batch.filter(pa.array(scores < threshold, pa.bool_()))
+        release_memory()
 
     return docs.mapInArrow(clean, docs.schema)

@@ -20,21 +20,21 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loanvane.llm.components import connected_components
-from loanvane.llm.shared import WordHashes, exchange_buckets, group_offsets, mix, size_checked, stage, text_bytes
+from loanvane.llm.shared import WordHashes, exchange_buckets, group_offsets, mix, release_memory, size_checked, small_batches, stage, text_bytes
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
-BUCKET_TOKENS = 4_000_000
-FLUSH_TOKENS = 1_000_000
+BUCKET_TOKENS = 1_000_000
+FLUSH_TOKENS = 400_000
+TEXTS_PER_BATCH = 1000
 BLOCK_SETS, BLOCK_TOKENS = 256, 1_000_000
 GROUP_TOKENS = 65_536
 MERGE_ROUNDS = 3
@@ -60,18 +60,6 @@ def _class_key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows for the jobs inside, where rows are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 # ---------------------------------------------------------------- step 1: classes
 
 
@@ -84,6 +72,7 @@ def set_classes(docs: DataFrame, key: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_key(s) for s in sets], pa.binary())], ["doc_id", "n", "cls"]
             )
+        release_memory()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(measure, "doc_id long, n long, cls binary")
 
@@ -154,6 +143,7 @@ def shared_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFr
                 if len(tokens):
                     yield from packer.add(_class_key(tokens), tokens)
         yield from packer.flush()
+        release_memory()
 
     def count(table: pa.Table) -> pa.Table:
         classes, owner, token = _unpack(table, 16, np.uint32)
@@ -273,6 +263,7 @@ def crossing_tokens(sets: DataFrame, buckets: int) -> DataFrame:
             for owner, body in zip(owners, batch.column(2), strict=True):
                 yield from packer.add(owner.tobytes(), np.frombuffer(body.as_py(), np.uint64))
         yield from packer.flush()
+        release_memory()
 
     def count(table: pa.Table) -> pa.Table:
         owners, owner, token = _unpack(table, 16, np.uint64)
@@ -372,6 +363,12 @@ def similar_components(docs: DataFrame, key: str = "doc_id", width: int = SHINGL
     Null and empty texts have no shingles and stay alone, as do rows of an empty table. Rows of equal id and different
     text count as one document with both sets' links. The component is the smallest id reachable by links.
     """
+    spark = docs.sparkSession
+    with small_batches(spark, TEXTS_PER_BATCH):  # everything with Python in it is staged inside
+        return _components(docs, key, width)
+
+
+def _components(docs: DataFrame, key: str, width: int) -> DataFrame:
     spark = docs.sparkSession
     classes = stage(set_classes(docs, key, width), "join-classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

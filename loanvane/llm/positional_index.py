@@ -17,11 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanvane.llm.shared import WordHashes, group_offsets, stage, text_bytes
+from loanvane.llm.shared import WordHashes, group_offsets, release_memory, small_batches, stage, text_bytes
 
 WINDOW = 10
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
 BITMAP_BITS = 24
+TEXTS_PER_BATCH = 1000
 # Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased.
 _LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -129,6 +130,7 @@ def build_index(docs: DataFrame, key: str, bitmap: np.ndarray, gap: int = WINDOW
                     ids, starts, counts, terms, places, base = [], [], [], [], [], 0
         if ids:
             yield rows_of(part << 32 | seq, ids, starts, counts, terms, places)
+        release_memory()
 
     schema = "shard long, term long, n long, places binary, doc_ids array<long>"
     return docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(build, schema)
@@ -225,7 +227,8 @@ def find_benchmark(docs: DataFrame, items: DataFrame, key: str = "doc_id", width
     each judged. Without items nothing is hit. Keys must be integers.
     """
     windows = stage(test_windows(items, width), "test-windows")
-    index = stage(build_index(docs, key, term_bitmap(windows), width), "positional-index")
+    with small_batches(docs.sparkSession, TEXTS_PER_BATCH):
+        index = stage(build_index(docs, key, term_bitmap(windows), width), "positional-index")
     rows = stage(search_index(index, windows), "index-hits")
     owners = windows.select("window", "item_id").distinct()
     per_doc = (

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,18 @@ def exchange_buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the jobs inside, where rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def size_checked(small: DataFrame, row_limit: int) -> DataFrame:
     """``small`` with a broadcast hint if it has at most ``row_limit`` rows, else as it is for a shuffled join.
 
@@ -144,6 +159,14 @@ def text_bytes(value: str | None) -> bytes:
     return value.encode("utf-8", "replace") if value else b""
 
 
+def release_memory() -> None:
+    """Gives memory that a finished task freed back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def group_offsets(sorted_keys: np.ndarray) -> np.ndarray:
     """Start of each run of equal values, and the length at the end."""
     if not len(sorted_keys):
