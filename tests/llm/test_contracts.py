@@ -175,6 +175,21 @@ def test_equal_articles_of_a_host_stay(spark):
     assert {r["text"] for r in out.values()} == {"same text on every page here"}
 
 
+def main_texts(spark, pages):
+    rows = [(i, f"http://{host}/{i}", page) for i, (host, page) in enumerate(pages)]
+    return [r["text"] for r in sorted(site_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r["page_id"])]
+
+
+def test_importance_and_not_names_chooses_branches(spark):
+    bare = lambda i: f"<body><div><p>Home</p><p>All news</p></div><div><p>Bare {i} <b>tells</b> of {i * i}</p></div><div>Write to us</div></body>"
+    meta = lambda i: f"<body><div class='post-meta'>All rights kept</div><div>Meta {i} tells of {i * i}</div></body>"
+    form = lambda i: f"<body><form id='f'><nav>go {i}</nav><div>Form {i} tells of {i * i}, and more than that</div></form></body>"
+    out = main_texts(spark, [(h, page(i)) for h, page in (("bare", bare), ("meta", meta), ("form", form)) for i in range(12)])
+    assert out[:12] == [f"Bare {i} tells of {i * i}" for i in range(12)]
+    assert out[12:24] == [f"Meta {i} tells of {i * i}" for i in range(12)]
+    assert out[24:] == [f"Form {i} tells of {i * i}, and more than that" for i in range(12)]
+
+
 # ---------------------------------------------------------------- 5
 
 
