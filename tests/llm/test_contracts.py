@@ -190,6 +190,15 @@ def test_importance_and_not_names_chooses_branches(spark):
     assert out[24:] == [f"Form {i} tells of {i * i}, and more than that" for i in range(12)]
 
 
+def test_short_texts_of_large_templates_and_small_hosts(spark):
+    page = lambda i: "<body>" + "".join(f"<div><p>Template part {k}, the same all over</p></div>" for k in range(30)) + f"<section><p>Short {i}</p></section></body>"
+    few = lambda i: f"<body><div>Follow us</div><section><p>Few {i}</p></section></body>"
+    pages = [("large", page(i)) for i in range(8)] + [("few", few(i)) for i in range(3)] + [("copies", few(0))] * 6
+    out = main_texts(spark, pages)
+    assert out[:8] == [f"Short {i}" for i in range(8)] and out[8:11] == [f"Few {i}" for i in range(3)]
+    assert set(out[11:]) == {"Follow us Few 0"}
+
+
 # ---------------------------------------------------------------- 5
 
 
