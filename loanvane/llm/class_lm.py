@@ -1,12 +1,14 @@
 """Scores of a Brown class-based bigram model, learned from the whole corpus.
 
-Every word belongs to a unit: the most frequent words are units of their own, the others share one with the words of
-like ending. Exchange clustering assigns units to classes so that the class bigrams of the corpus are likely. The
+A seed comes from units: the most frequent words are units of their own, the others share one with the words of
+like ending. Exchange clustering assigns units to classes so that the class bigrams of the corpus are likely. Then, for some
+rounds, every other word seen ``LEAST_COUNT`` times or more goes to the class that raises that likelihood most, given the
+classes that stand before and after it; rarer and unknown words keep the class of their ending. The
 model gives a word the probability of its class after the class before, times the word's share in its class.
 
-Counts of all words pass through one packed exchange and stay in a written table; documents later ask that table, bucket by
-bucket, for the counts of their rarer words and get partial sums back. No word table is held in one place: only
-counts between units, whose number is a parameter, come to the driver.
+Counts and neighbour classes of all words pass through packed exchanges and stay in written tables; texts ask such a table,
+bucket by bucket, for the classes and counts of their rarer words. No word table is held in one place: only
+counts between units, and between classes, come to the driver.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ FREQUENT_WORDS = 1000
 ENDING_BITS = 8
 CLASSES = 48
 SWEEPS = 8
+ROUNDS = 2
+LEAST_COUNT = 3
 SMOOTH = 0.1
 FLUSH_WORDS = 2_000_000
 ENDING = 3
@@ -111,26 +115,6 @@ def frequent_words(vocabulary: DataFrame, limit: int) -> tuple[np.ndarray, np.nd
     return keys[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
-def ending_sums(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words and of tokens per ending, over the whole vocabulary."""
-    size = 1 << ENDING_BITS
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, n = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
-                ending = (np.frombuffer(keys.as_py(), np.uint64) >> _LOW).astype(np.int64)
-                v += np.bincount(ending, minlength=size)
-                n += np.bincount(ending, np.frombuffer(counts.as_py(), np.int64), size).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(v), pa.array(n)], ["ending", "v", "n"])
-
-    found = vocabulary.select("keys", "counts").mapInArrow(sums, "ending long, v long, n long").groupBy("ending").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    v, n = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for r in found.collect():
-        v[r["ending"]], n[r["ending"]] = r["v"], r["n"]
-    return v, n
-
-
 def units_of(keys: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Unit of each word: the place of a frequent word, or behind them the word's ending."""
     units = (keys >> _LOW).astype(np.int64) + len(frequent)
@@ -232,136 +216,367 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int =
     return of
 
 
-# ---------------------------------------------------------------- scores
+# ---------------------------------------------------------------- classes of all words
 
 
-def class_model(train: DataFrame, buckets: int, frequent_limit: int, classes: int) -> dict:
-    """Everything scoring needs but the rarer words' counts, which stay in the table ``vocabulary``."""
-    vocabulary = count_words(train, buckets)
-    frequent, frequent_n = frequent_words(vocabulary, frequent_limit)
-    ending_v, ending_n = ending_sums(vocabulary)
-    bigrams = unit_bigrams(train, frequent)
-    of = exchange_classes(bigrams, classes)
-    ends = float(bigrams[-1].sum())
-    np.subtract.at(ending_v, (frequent >> _LOW).astype(np.int64), 1)
-    np.subtract.at(ending_n, (frequent >> _LOW).astype(np.int64), frequent_n)
-    unit_v = np.concatenate((np.ones(len(frequent)), ending_v, [1.0]))
-    unit_n = np.concatenate((frequent_n, ending_n, [ends])).astype(np.float64)
-    class_v, class_n = np.bincount(of, unit_v, classes), np.bincount(of, unit_n, classes)
-    member = np.zeros((len(of), classes))
-    member[np.arange(len(of)), of] = 1
-    joint = member.T @ bigrams @ member
-    step = np.log10((joint + SMOOTH) / (joint.sum(1, keepdims=True) + SMOOTH * classes))
-    class_base = np.log10(class_n + SMOOTH * (class_v + 1))
-    n_all, v_all = float(frequent_n.sum() + ending_n.sum() + ends), float(unit_v[:-1].sum() + (ends > 0))
-    return {
-        "vocabulary": vocabulary, "frequent": frequent, "frequent_log": np.log10(frequent_n + SMOOTH), "of": of, "step": step, "class_base": class_base,
-        "n": int(n_all), "base": float(np.log10(n_all + SMOOTH * (v_all + 1))), "end_log": float(np.log10(ends + SMOOTH)), "ends": ends,
-    }
+def _small(n: int) -> type:
+    """Least integer type for ``n`` values."""
+    return np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32
 
 
-def score_documents(
-    docs: DataFrame, key: str = "doc_id", fold: int = 10, frequent_limit: int = FREQUENT_WORDS, classes: int = CLASSES
-) -> DataFrame:
-    """Per row of ``docs``: key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+def _seed_contexts(seed: dict):
+    """Rows of text to ``(keys of the words to place, classes before them, classes after them)``, by the classes of units."""
 
-    ``docs`` has an integer key and ``text``. Rows whose key's CRC-32 is divisible by ``fold`` are held out of learning. A text's end
-    is a token; null and empty texts have that token alone. Rows of equal key are scored each.
+    def contexts(batch: pa.RecordBatch):
+        frequent, of = seed["frequent"], seed["of"]
+        for text in batch.column(0):
+            keys = word_keys(text.as_py())
+            units = units_of(keys, frequent)
+            path = of[np.concatenate(([len(of) - 1], units, [len(of) - 1]))]
+            at = np.flatnonzero(units >= len(frequent))
+            yield keys[at], path[at], path[at + 2]
+
+    return contexts
+
+
+def _path_contexts(classes: int):
+    """The same from rows ``(path, asked, keys)`` of ``classed``."""
+
+    def contexts(batch: pa.RecordBatch):
+        for path, asked, keys in zip(*(batch.column(i) for i in range(3)), strict=True):
+            inner = np.frombuffer(path.as_py(), _small(classes)).astype(np.int64)
+            path = np.concatenate(([classes - 1], inner, [classes - 1]))
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(asked.as_py(), np.uint8), count=len(inner)))
+            yield np.frombuffer(keys.as_py(), np.uint64), path[at], path[at + 2]
+
+    return contexts
+
+
+def class_gains(table: np.ndarray, home: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """Gain of the class bigram likelihood for each word (row) in each class, all others staying where they are.
+
+    ``table`` has the counts of classes before the word, then of those after it; ``home`` is the class that ``joint`` counts it in. Exact but for words beside themselves.
     """
-    spark = docs.sparkSession
-    buckets = exchange_buckets(spark)
-    held_out = crc_fold(F.col(key), fold) == 0
-    model = class_model(docs.filter(~held_out), buckets, frequent_limit, classes)
-    vocabulary, local = model.pop("vocabulary"), model
+    size, rows = len(joint), np.arange(len(table))
+    word, side = np.nonzero(table)
+    n = table[word, side]
+    base = np.vstack((joint, joint.T))[side]
+    cells = _plogp(base + n[:, None]) - _plogp(base)
+    at, own = np.arange(len(word)), home[word]
+    cells[at, own] = _plogp(base[at, own]) - _plogp(base[at, own] - n)
+    gains = np.zeros((len(table), size))
+    some, starts = np.unique(word, return_index=True)
+    if len(some):
+        gains[some] = np.add.reduceat(cells, starts)
+    before, after = table[:, :size], table[:, size:]
+    for sums, change in ((joint.sum(1), after.sum(1)), (joint.sum(0), before.sum(1))):
+        loss = _plogp(sums + change[:, None]) - _plogp(sums)
+        loss[rows, home] = _plogp(sums[home]) - _plogp(sums[home] - change)
+        gains -= loss
+    d, sign = np.diag(joint)[None, :], np.ones(gains.shape)
+    sign[rows, home] = -1  # the word is in there already
+    both = _plogp(d + sign * (before + after)) - _plogp(d + sign * before) - _plogp(d + sign * after) + _plogp(d)
+    gains += sign * both
+    # cells between home and the other class lose the word on one side as they get it on the other
+    for cell, out, into in ((joint.T[home], before, after[rows, home]), (joint[home], after, before[rows, home])):
+        cross = _plogp(cell - out + into[:, None]) - _plogp(cell - out) - _plogp(cell + into[:, None]) + _plogp(cell)
+        cross[rows, home] = 0
+        gains += cross
+    return gains
+
+
+def place_words(rows: DataFrame, contexts, vocabulary: DataFrame, joint: np.ndarray, seed: dict, buckets: int) -> DataFrame:
+    """Written table ``(bucket, keys, counts, classes)``: ``vocabulary`` with each word's class by its own neighbours in ``rows``.
+
+    Words start from the column ``classes`` of ``vocabulary``, or from their units' classes where it is null.
+    """
+    size = len(joint)
+    kind = _small(2 * size)
+    frequent, of = seed["frequent"], seed["of"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, before, after = (np.concatenate(c) for c in zip(*held, strict=True))
+            words, place = np.unique(keys, return_inverse=True)
+            at = _bucket(words, buckets)
+            order = np.argsort(at, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words, at, place = words[order], at[order], rank[place]
+            pairs, counts = np.unique(np.concatenate((place * (2 * size) + before, place * (2 * size) + size + after)), return_counts=True)
+            word, side = pairs // (2 * size), (pairs % (2 * size)).astype(kind)
+            runs = group_offsets(at)
+            cut = [(a, b, *np.searchsorted(word, (a, b))) for a, b in zip(runs[:-1], runs[1:], strict=True)]
+            columns = (
+                [words[a:b].tobytes() for a, b, _, _ in cut], [(word[c:d] - a).astype(np.uint32).tobytes() for a, _, c, d in cut],
+                [side[c:d].tobytes() for _, _, c, d in cut], [counts[c:d].astype(np.uint32).tobytes() for _, _, c, d in cut],
+            )
+            return pa.RecordBatch.from_arrays([pa.array(at[runs[:-1]].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], ["b", "words", "word", "side", "n"])
+
+        for batch in batches:
+            for found in contexts(batch):
+                if len(found[0]):
+                    held.append(found)
+                    n += len(found[0])
+                if n >= FLUSH_WORDS:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    def place(known: pa.Table, seen: pa.Table) -> pa.Table:
+        names = ["bucket", "keys", "counts", "classes"]
+        if not known.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())], names)
+        keys, counts = np.frombuffer(known.column("keys")[0].as_py(), np.uint64), np.frombuffer(known.column("counts")[0].as_py(), np.int64)
+        units = units_of(keys, frequent)
+        held = known.column("classes")[0].as_py()
+        classes = of[units].astype(np.int64) if held is None else np.frombuffer(held, _small(size)).astype(np.int64)
+        movable = np.flatnonzero((units >= len(frequent)) & (counts >= LEAST_COUNT))
+        slot = np.full(len(keys), -1)
+        slot[movable] = np.arange(len(movable))
+        cells, sums = [], []
+        for words, word, side, n in zip(*(seen.column(c) for c in ("words", "word", "side", "n")), strict=True):
+            own = slot[np.searchsorted(keys, np.frombuffer(words.as_py(), np.uint64))][np.frombuffer(word.as_py(), np.uint32)]
+            there = own >= 0
+            cells.append(own[there] * (2 * size) + np.frombuffer(side.as_py(), kind)[there])
+            sums.append(np.frombuffer(n.as_py(), np.uint32)[there])
+        if len(movable) and cells:
+            cells, sums = np.concatenate(cells), np.concatenate(sums)
+            order = np.argsort(cells, kind="stable")
+            cells, sums = cells[order], sums[order]
+            step = 1 << 10
+            for a in range(0, len(movable), step):
+                b = min(a + step, len(movable))
+                c, d = np.searchsorted(cells, (a * 2 * size, b * 2 * size))
+                table = np.bincount(cells[c:d] - a * 2 * size, sums[c:d], (b - a) * 2 * size).reshape(b - a, 2 * size)
+                home = classes[movable[a:b]]
+                gains = class_gains(table, home, joint)[:, :-1]
+                best, every = np.argmax(gains, 1), np.arange(b - a)
+                classes[movable[a:b]] = np.where(gains[every, best] > gains[every, home] + 1e-9, best, home)
+        return pa.table(
+            [known.column("bucket"), known.column("keys"), known.column("counts"), pa.array([classes.astype(_small(size)).tobytes()], pa.binary())], names
+        )
+
+    packed = rows.mapInArrow(gather, "b int, words binary, word binary, side binary, n binary")
+    left = vocabulary.select("bucket", "keys", "counts", "classes").groupBy("bucket")
+    return stage(left.cogroup(packed.groupBy("b")).applyInArrow(place, "bucket int, keys binary, counts binary, classes binary"), "lm-classes")
+
+
+def classed(texts: DataFrame, table: DataFrame, seed: dict, buckets: int, with_keys: bool = False) -> DataFrame:
+    """Per row of ``texts`` (key, text): ``(doc, n_known, log_counts, path, asked, keys)``.
+
+    ``path`` has the class of each word by ``table``. With ``with_keys``, ``asked`` marks the words that are not among the seed's frequent ones, as packed bits, and
+    ``keys`` has them, but the sums are not made; without, both are null.
+    """
+    classes = seed["classes"]
+    kind, bucket_kind = _small(classes), _small(buckets)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per chunk with what is known of its documents, and rows per bucket with the words to look up."""
-        frequent, of, border = local["frequent"], local["of"], len(local["of"]) - 1
+        frequent, of = seed["frequent"], seed["of"]
         part, seq = TaskContext.get().partitionId(), 0
-        ids, sums, words, owners, held = [], [], [], [], 0
+        ids, sums, paths, words, owners, held = [], [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             chunk = part << 32 | seq
-            own = [(chunk, None, np.array(ids, np.int64).tobytes(), np.array(sums, np.float64).tobytes())]
-            if words:
-                word, owner = np.concatenate(words), np.concatenate(owners)
-                at = _bucket(word, buckets)
-                order = np.argsort(at, kind="stable")
-                word, owner, at = word[order], owner[order], at[order]
-                runs = group_offsets(at)
-                own += [(chunk, int(at[a]), word[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(runs[:-1], runs[1:], strict=True)]
-            columns = zip(*own, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "left", "right"]
-            )
+            word, owner = np.concatenate(words), np.concatenate(owners)
+            at = _bucket(word, buckets)
+            own = [
+                (chunk, None, np.array(ids, np.int64).tobytes(), np.array(sums, np.float64).tobytes(), np.concatenate(paths).tobytes(),
+                 at.astype(bucket_kind).tobytes(), word.tobytes() if with_keys else None)
+            ]
+            order = np.argsort(at, kind="stable")
+            word, owner, at = word[order], owner[order], at[order]
+            runs = group_offsets(at) if len(at) else np.zeros(1, np.int64)
+            own += [(chunk, int(at[a]), word[a:b].tobytes(), None if with_keys else owner[a:b].tobytes(), None, None, None) for a, b in zip(runs[:-1], runs[1:], strict=True)]
+            types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), types, strict=True)], ["chunk", "bucket", "a", "b", "c", "d", "e"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys = word_keys(text.as_py())
                 units = units_of(keys, frequent)
-                path = of[np.concatenate(([border], units, [border]))]
                 known = units < len(frequent)
-                log_c = local["frequent_log"][units[known]].sum() + local["end_log"]
-                smooth = local["step"][path[:-1], path[1:]].sum() - local["class_base"][path[1:]].sum()
-                n = len(keys) + 1
-                sums.append((n, known.sum() + (local["ends"] > 0), log_c - n * local["base"], log_c + smooth))
+                sums.append((len(keys), known.sum(), seed["frequent_log"][units[known]].sum()))
+                paths.append(np.where(known, of[units], classes - 1).astype(kind))  # no word has the border's class: it marks the words to ask for
                 ids.append(NO_ID if doc is None else doc)
-                rare = keys[~known]
-                words.append(rare)
-                owners.append(np.full(len(rare), len(ids) - 1, np.uint32))
+                words.append(keys[~known])
+                owners.append(np.full(len(words[-1]), len(ids) - 1, np.uint32))
                 held += len(keys) + 1
                 if held >= FLUSH_WORDS:
                     yield flush()
                     seq += 1
-                    ids, sums, words, owners, held = [], [], [], [], 0
+                    ids, sums, paths, words, owners, held = [], [], [], [], [], 0
         if ids:
             yield flush()
 
     def answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
-        """Per chunk: sums of log counts, and numbers of known words, of its documents."""
+        """Per chunk: sums of log counts and numbers of known words of its documents, and the class of each word asked for."""
         if known.num_rows:
             words, counts = np.frombuffer(known.column("keys")[0].as_py(), np.uint64), np.frombuffer(known.column("counts")[0].as_py(), np.int64)
+            of_words = np.frombuffer(known.column("classes")[0].as_py(), kind)
         else:
-            words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            words, counts, of_words = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, kind)
         out = []
-        for chunk, left, right in zip(*(asked.column(c) for c in ("chunk", "left", "right")), strict=True):
-            word, owner = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint32).astype(np.int64)
+        for chunk, left, right in zip(*(asked.column(c) for c in ("chunk", "a", "b")), strict=True):
+            word = np.frombuffer(left.as_py(), np.uint64)
             c = np.zeros(len(word))
+            cls = seed["of"][units_of(word, seed["frequent"])].astype(kind)
             if len(words):
                 at = np.searchsorted(words, word)
                 at[at == len(words)] = 0
-                c = np.where(words[at] == word, counts[at], 0)
-            some, place = np.unique(owner, return_inverse=True)
-            logs, hits = np.bincount(place, np.log10(c + SMOOTH)), np.bincount(place, c > 0)
-            out.append((chunk.as_py(), int(key[0].as_py()), some.astype(np.uint32).tobytes(), np.column_stack((logs, hits)).tobytes()))
-        columns = zip(*out, strict=True)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "left", "right"])
+                hit = words[at] == word
+                c, cls = np.where(hit, counts[at], 0), np.where(hit, of_words[at], cls)
+            some = parts = None
+            if not with_keys:
+                owners, place = np.unique(np.frombuffer(right.as_py(), np.uint32), return_inverse=True)
+                some, parts = owners.tobytes(), np.column_stack((np.bincount(place, np.log10(c + SMOOTH)), np.bincount(place, c > 0))).tobytes()
+            out.append((chunk.as_py(), int(key[0].as_py()), some, parts, cls.tobytes(), None, None))
+        types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["chunk", "bucket", "a", "b", "c", "d", "e"])
 
     def settle(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "left", "right")), strict=True), key=lambda r: -1 if r[0] is None else r[0])
-        ids = np.frombuffer(rows[0][1], np.int64)
-        sums = np.frombuffer(rows[0][2], np.float64).reshape(-1, 4).copy()
-        for _, owners, parts in rows[1:]:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "a", "b", "c", "d", "e")), strict=True), key=lambda r: -1 if r[0] is None else r[0])
+        _, ids, sums, path, at, keys = rows[0]
+        ids, sums = np.frombuffer(ids, np.int64), np.frombuffer(sums, np.float64).reshape(-1, 3).copy()
+        path = np.frombuffer(path, kind).copy()
+        asked = path == classes - 1
+        places = np.flatnonzero(asked)[np.argsort(np.frombuffer(at, bucket_kind), kind="stable")]
+        if len(places):
+            path[places] = np.frombuffer(b"".join(r[3] for r in rows[1:]), kind)
+        for _, owners, parts, *_ in () if with_keys else rows[1:]:
             owner, part = np.frombuffer(owners, np.uint32).astype(np.int64), np.frombuffer(parts, np.float64).reshape(-1, 2)
             sums[owner, 1] += part[:, 1]
             sums[owner, 2] += part[:, 0]
-            sums[owner, 3] += part[:, 0]
+        ends = np.concatenate(([0], np.cumsum(sums[:, 0].astype(np.int64))))
+        cut = list(zip(ends[:-1], ends[1:], strict=True))
+        marks, words = [None] * len(ids), [None] * len(ids)
+        if with_keys:
+            marks = [np.packbits(asked[a:b]).tobytes() for a, b in cut]
+            before = np.concatenate(([0], np.cumsum(asked)))[ends] * 8
+            words = [keys[a:b] for a, b in zip(before[:-1], before[1:], strict=True)]
         return pa.table(
             {
-                "doc": pa.array(ids), "n_tokens": pa.array(sums[:, 0].astype(np.int64)), "n_known": pa.array(sums[:, 1].astype(np.int64)),
-                "base_score": pa.array(sums[:, 2].copy()), "score": pa.array(sums[:, 3].copy()),
+                "doc": pa.array(ids), "n_known": pa.array(sums[:, 1].astype(np.int64)), "log_counts": pa.array(sums[:, 2].copy()),
+                "path": pa.array([path[a:b].tobytes() for a, b in cut], pa.binary()), "asked": pa.array(marks, pa.binary()), "keys": pa.array(words, pa.binary()),
             }
         )
 
-    row = "chunk long, bucket int, left binary, right binary"
-    asked = docs.select(F.col(key).cast("long"), "text").mapInArrow(ask, row)
-    asked = stage(asked, "lm-asked")
+    row = "chunk long, bucket int, a binary, b binary, c binary, d binary, e binary"
+    asked = stage(texts.mapInArrow(ask, row), "lm-asked")
     heads = asked.filter(F.col("bucket").isNull())
     lookups = asked.filter(F.col("bucket").isNotNull())
-    answers = lookups.groupBy("bucket").cogroup(vocabulary.select("bucket", "keys", "counts").withColumnRenamed("bucket", "b").groupBy("b")).applyInArrow(
-        _only_asked(answer), row
-    )
-    result = heads.unionByName(answers).groupBy("chunk").applyInArrow(settle, "doc long, n_tokens long, n_known long, base_score double, score double")
+    known = table.select(F.col("bucket").alias("k"), "keys", "counts", "classes")
+    answers = lookups.groupBy("bucket").cogroup(known.groupBy("k")).applyInArrow(_only_asked(answer), row)
+    return heads.unionByName(answers).groupBy("chunk").applyInArrow(settle, "doc long, n_known long, log_counts double, path binary, asked binary, keys binary")
+
+
+def class_bigrams(paths: DataFrame, classes: int) -> np.ndarray:
+    """Counts of neighbouring classes over all rows; the last class stands before and after each."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for path in batch.column(0):
+                path = np.concatenate(([classes - 1], np.frombuffer(path.as_py(), _small(classes)).astype(np.int64), [classes - 1]))
+                np.add.at(sums, path[:-1] * classes + path[1:], 1)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["pair", "n"])
+
+    found = paths.select("path").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    joint = np.zeros(classes * classes)
+    joint[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return joint.reshape(classes, classes)
+
+
+def class_sums(table: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words and of tokens per class."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, n = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
+            for counts, of in zip(batch.column(0), batch.column(1), strict=True):
+                of = np.frombuffer(of.as_py(), _small(classes)).astype(np.int64)
+                v += np.bincount(of, minlength=classes)
+                n += np.bincount(of, np.frombuffer(counts.as_py(), np.int64), classes).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(v), pa.array(n)], ["class", "v", "n"])
+
+    found = table.select("counts", "classes").mapInArrow(sums, "class long, v long, n long").groupBy("class").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    v, n = np.zeros(classes), np.zeros(classes)
+    for r in found.collect():
+        v[r["class"]], n[r["class"]] = r["v"], r["n"]
+    return v, n
+
+
+# ---------------------------------------------------------------- scores
+
+
+def class_model(train: DataFrame, buckets: int, frequent_limit: int, classes: int, rounds: int = ROUNDS, scored: tuple | None = None) -> dict:
+    """Everything scoring needs but the rarer words' counts and classes, which stay in the table ``vocabulary``.
+
+    ``scored`` has rows (doc, text) that include those of ``train``, and a function from their ``doc`` to whether a row is held out: the last class bigrams then
+    come from the written ``paths`` of these, so that training texts are not looked up twice.
+    """
+    train = train.select(F.lit(0).cast("long").alias("doc"), "text")
+    vocabulary = count_words(train, buckets)
+    frequent, frequent_n = frequent_words(vocabulary, frequent_limit)
+    bigrams = unit_bigrams(train, frequent)
+    of = exchange_classes(bigrams, classes)
+    ends = float(bigrams[-1].sum())
+    seed = {"frequent": frequent, "frequent_log": np.log10(frequent_n + SMOOTH), "of": of, "classes": classes}
+    member = np.zeros((len(of), classes))
+    member[np.arange(len(of)), of] = 1
+    joint = member.T @ bigrams @ member
+    rows, contexts = train.select("text"), _seed_contexts(seed)
+    table = vocabulary.withColumn("classes", F.lit(None).cast("binary"))
+    for i in range(rounds):
+        table = place_words(rows, contexts, table, joint, seed, buckets)
+        if i + 1 < rounds:
+            rows, contexts = stage(classed(train, table, seed, buckets, with_keys=True).select("path", "asked", "keys"), "lm-paths"), _path_contexts(classes)
+            joint = class_bigrams(rows, classes)
+    paths = stage(classed(scored[0] if scored else train, table, seed, buckets).select("doc", "n_known", "log_counts", "path"), "lm-paths")
+    joint = class_bigrams(paths.filter(~scored[1](F.nullif("doc", F.lit(NO_ID)))) if scored else paths, classes)
+    class_v, class_n = class_sums(table, classes)
+    n_all, v_all = float(class_n.sum() + ends), float(class_v.sum() + (ends > 0))
+    class_v[-1], class_n[-1] = 1, ends
+    return seed | {
+        "vocabulary": table, "paths": paths, "step": np.log10((joint + SMOOTH) / (joint.sum(1, keepdims=True) + SMOOTH * classes)), "class_base": np.log10(class_n + SMOOTH * (class_v + 1)),
+        "n": int(n_all), "base": float(np.log10(n_all + SMOOTH * (v_all + 1))), "end_log": float(np.log10(ends + SMOOTH)), "ends": ends, "joint": joint,
+    }
+
+
+def score_documents(
+    docs: DataFrame, key: str = "doc_id", fold: int = 10, frequent_limit: int = FREQUENT_WORDS, classes: int = CLASSES
+) -> DataFrame:
+    """Per row of ``docs``: key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+
+    ``docs`` has an integer key and ``text``. Rows whose key's CRC-32 is divisible by ``fold`` are held out of learning. A text's end
+    is a token; null and empty texts have that token alone. Rows of equal key are scored each.
+    """
+    spark = docs.sparkSession
+    buckets = exchange_buckets(spark)
+    held_out = lambda doc: crc_fold(doc, fold) == 0
+    texts = docs.select(F.col(key).cast("long").alias("doc"), "text")
+    model = class_model(texts.filter(~held_out(F.col("doc"))), buckets, frequent_limit, classes, scored=(texts, held_out))
+    paths = model.pop("paths")
+    local = {name: model[name] for name in ("step", "class_base", "end_log", "ends", "base", "n")}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, smooth = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for i, path in enumerate(batch.column(3)):
+                path = np.concatenate(([classes - 1], np.frombuffer(path.as_py(), _small(classes)).astype(np.int64), [classes - 1]))
+                n[i], smooth[i] = len(path) - 1, local["step"][path[:-1], path[1:]].sum() - local["class_base"][path[1:]].sum()
+            logs = batch.column(2).to_numpy() + local["end_log"]
+            known = batch.column(1).to_numpy() + int(local["ends"] > 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n), pa.array(known), pa.array(logs - n * local["base"]), pa.array(logs + smooth)], ["doc", "n_tokens", "n_known", "base_score", "score"]
+            )
+
+    result = paths.mapInArrow(score, "doc long, n_tokens long, n_known long, base_score double, score double")
     result = result.withColumn("doc", F.nullif(F.col("doc"), F.lit(NO_ID)))
     return result.select(
         F.col("doc").alias(key), (crc_fold(F.col("doc"), fold) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(local["n"]).cast("long").alias("train_tokens"),
@@ -375,7 +590,7 @@ def _only_asked(answer):
     def either(key, asked: pa.Table, known: pa.Table) -> pa.Table:
         if asked.num_rows:
             return answer(key, asked, known)
-        empty = [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())]
-        return pa.table(empty, ["chunk", "bucket", "left", "right"])
+        empty = [pa.array([], t) for t in (pa.int64(), pa.int32(), *[pa.binary()] * 5)]
+        return pa.table(empty, ["chunk", "bucket", "a", "b", "c", "d", "e"])
 
     return either

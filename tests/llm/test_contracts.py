@@ -483,3 +483,40 @@ def test_class_model_of_nothing(none, spark):
     held = spark.createDataFrame([(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     out = class_lm.score_documents(held).collect()
     assert out and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in out)
+
+
+def test_rare_words_take_the_class_of_their_neighbours(spark):
+    """Rare words of one ending part into those after "le" and those after "run"."""
+    rng = random.Random(4)
+    pick = lambda kind: f"{kind}{min(rng.randrange(80), rng.choice([1, 2, 80]))}xyz"
+    rows = [(1, " ".join(w for _ in range(20) for w in ("le", pick("n"), "est", "run", pick("v"), "now"))) for _ in range(60)]
+    model = class_lm.class_model(spark.createDataFrame(rows, "doc_id long, text string"), 4, 8, 8)
+    of = {}
+    for r in model["vocabulary"].collect():
+        of |= dict(zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["classes"], np.uint8).tolist(), strict=True))
+    counts = collections.Counter(w for _, text in rows for w in text.split())
+    rare = [w for w, c in counts.items() if w.endswith("xyz") and class_lm.LEAST_COUNT <= c < 30]
+    nouns, verbs = ({of[int(class_lm.word_keys(w)[0])] for w in rare if w[0] == kind} for kind in "nv")
+    assert len(rare) > 80 and nouns and verbs and not nouns & verbs
+
+
+def test_gains_are_differences_of_the_likelihood():
+    rng = np.random.default_rng(8)
+    of, text = rng.integers(0, 3, 12), rng.integers(0, 12, 900)
+    text = text[np.concatenate(([True], text[1:] != text[:-1]))]  # a word beside itself moves both sides at once
+    text = np.concatenate((text, [13 if text[0] == text[-1] else text[0]]))
+    of = np.concatenate((of, [0, 0]))
+
+    def likelihood(of):
+        joint = np.zeros((4, 4))
+        np.add.at(joint, (of[text[:-1]], of[text[1:]]), 1)
+        return class_lm._plogp(joint).sum() - class_lm._plogp(joint.sum(1)).sum() - class_lm._plogp(joint.sum(0)).sum(), joint
+
+    joint = likelihood(of)[1]
+    u = next(w for w in range(12) if w not in (text[0], text[-1]))  # with as many words before as after
+    table = np.zeros((1, 8))
+    np.add.at(table[0], of[text[:-1][text[1:] == u]], 1)
+    np.add.at(table[0], 4 + of[text[1:][text[:-1] == u]], 1)
+    gains = class_lm.class_gains(table, of[[u]], joint)[0]
+    want = np.array([likelihood(np.where(np.arange(14) == u, c, of))[0] for c in range(4)])
+    assert gains - gains[of[u]] == pytest.approx(want - want[of[u]], abs=1e-6)
