@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanvane.llm import class_lm, factorization, group_join, line_cleaning, mixing, positional_index, rule_ensemble, sharding, site_tree, zip_warc
+from loanvane.llm import (
+    class_lm,
+    factorization,
+    group_join,
+    license_scan,
+    line_cleaning,
+    manifest,
+    mixing,
+    periodic_runs,
+    positional_index,
+    rule_ensemble,
+    sharding,
+    site_tree,
+    zip_warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +68,19 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score_documents(table(spark, sf_dir, "documents")).drop("perplexity")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampered_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(license_scan.license_spans(table(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
 QUERIES = {
     "op1_extendible_shards": op1_extendible_shards,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -65,4 +92,7 @@ QUERIES = {
     "op8_zip_warc": op8_zip_warc,
     "op9_positional_index": op9_positional_index,
     "op10_class_lm": op10_class_lm,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_license_scan": op12_license_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
