@@ -17,7 +17,7 @@ from loanvane.functions.scalars import (
     round_to_grid,
     thousands_text,
 )
-from loanvane.models import linear, trees
+from loanvane.models import linear, pruning, trees
 from loanvane.operators import cohort as cohort_ops
 from loanvane.operators import describe, effects, oob, prep, profile, sampling, scores
 from loanvane.operators.order_stats import exact_quantiles, scalar_quantile
@@ -514,18 +514,30 @@ def enet_grid(spark, sf):
     return linear.grid_table(penalties, scores.score_metrics(long))
 
 
-def cart(spark, sf):
+def cart_of(spark, sf):
     data = study_split(spark, sf)
-    design = data.tree_design
-    fitted = trees.fit_cart(loan_study.kept(design.transform(data.train)), design.max_bins)
-    return linear.score(fitted, design.transform(data.test), "p_hat").drop("features")
+    folded = sampling.with_folds(data.train, key=FOLD_KEY)
+    rows = loan_study.kept(data.tree_design.transform(folded, keep=["id", "default", "fold"]))
+    return data, pruning.fit_cart(rows, data.tree_design.max_bins)
+
+
+def cart(spark, sf):
+    """Test scores of the classification tree, pruned unless that leaves no split, with the price that pruned it."""
+    data, fitted = cart_of(spark, sf)
+    scored = trees.bag_scores(data.tree_design.transform(data.test), {"p_hat": (fitted.tree, "features", False)}, ["id", "default"])
+    return scored.withColumn("lambda", F.lit(fitted.cp))
+
+
+def cart_prices(spark, sf):
+    """Every subtree of the grown tree: its price, splits, training and cross-validated errors relative to the root's."""
+    return cart_of(spark, sf)[1].cp_table(spark)
 
 
 def bagging_oob(spark, sf):
     data = study_split(spark, sf)
     train = loan_study.kept(data.tree_design.transform(data.train))
     grown = trees.fit_bag(train, seed=7, max_bins=data.tree_design.max_bins, cp=trees.CP)
-    return oob.oob_error_path(trees.out_of_bag(trees.tree_votes(grown, train), len(grown), 7))
+    return oob.oob_error_path(trees.out_of_bag(grown))
 
 
 def bagging_vote(spark, sf):
@@ -535,7 +547,7 @@ def bagging_vote(spark, sf):
     grown = trees.fit_bag(
         train, trees.VOTE_TREES, 8, max_bins=design.max_bins, max_depth=trees.VOTE_DEPTH, min_leaf=trees.VOTE_LEAF
     )
-    return trees.mean_vote(trees.tree_votes(grown, design.transform(data.test)), "p_hat", majority=True)
+    return trees.bag_scores(design.transform(data.test), {"p_hat": (grown, "features", True)}, ["id", "default"])
 
 
 def forest(spark, sf):
@@ -543,7 +555,7 @@ def forest(spark, sf):
     design = data.tree_design
     train = loan_study.kept(design.transform(data.train, nominal=False))
     grown = trees.fit_bag(
-        train, trees.FOREST_TREES, 9, str(trees.default_mtry(len(design.names))), design.max_bins, trees.FOREST_DEPTH, trees.FOREST_LEAF
+        train, trees.FOREST_TREES, 9, trees.default_mtry(len(design.names)), design.max_bins, trees.FOREST_DEPTH, trees.FOREST_LEAF
     )
     return trees.importance_table(grown, design.names, spark)
 
@@ -573,7 +585,7 @@ ORDER = [
     unseen_levels, dq_checks, dq_checks_imputed, design_totals, high_rate_treatment, score_expr, score_unpivot,
     score_metrics, model_ranking, auc_exact, auc_auto_direction, metrics_union, roc_points, pr_curve, gains,
     screening_budget, score_density, oob_path, oob_summary, oob_scores, naive_effect, residuals, ols_residual,
-    dml_cell_mean, effect_table, design_matrix, logit, enet_grid, cart, bagging_oob, bagging_vote, forest,
+    dml_cell_mean, effect_table, design_matrix, logit, enet_grid, cart, cart_prices, bagging_oob, bagging_vote, forest,
     model_comparison, dml_enet,
 ]
 

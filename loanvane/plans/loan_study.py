@@ -19,6 +19,7 @@ from loanvane.functions.names import (
 )
 from loanvane.models import linear, trees
 from loanvane.models.dml import DEFAULT_ALPHA, estimate_effect, high_rate_threshold, with_high_rate
+from loanvane.models.pruning import fit_cart
 from loanvane.operators import oob as oob_ops
 from loanvane.operators.cohort import COHORT_YEARS, cohort_counts, label_loans, select_cohort
 from loanvane.operators.describe import audit_trail
@@ -168,6 +169,19 @@ class Comparison:
     oob: DataFrame
     oob_path: DataFrame
     importance: DataFrame
+    families: DataFrame
+
+
+def model_families(metrics: DataFrame, grid: DataFrame, cart_cp: float) -> DataFrame:
+    """Metrics of the regression and the tree family by name: every mixing share with its penalty and deviance, the pruned
+    tree with its price as penalty; what a model does not have is NULL."""
+    part = lambda names: metrics.filter(F.col("model").isin(names))
+    regression = part(["Logit"]).unionByName(grid, allowMissingColumns=True).withColumn("family", F.lit("regression"))
+    tree = part(["CART"]).withColumn("lambda", F.lit(cart_cp))
+    others = metrics.filter(~F.col("model").isin(["Logit", "Elastic net", "CART"]))
+    trees_ = tree.unionByName(others, allowMissingColumns=True).withColumn("family", F.lit("tree"))
+    out = regression.unionByName(trees_, allowMissingColumns=True)
+    return out.select("family", "model", "alpha", "lambda", "cv_error", *[c for c in metrics.columns if c != "model"])
 
 
 def compare_models(
@@ -180,7 +194,6 @@ def compare_models(
     forest_trees: int = trees.FOREST_TREES,
     fold_key: RandomKey | None = None,
     seed: int = 1363,
-    parallelism: int = 8,
 ) -> Comparison:
     """Fit the six models on the training rows and evaluate them on the same test rows.
 
@@ -193,7 +206,7 @@ def compare_models(
     require_clean(data.test, predictors)
     x_train, x_test = kept(all_features(data, with_folds(data.train, key=fold_key))), kept(all_features(data, data.test))
     bins = data.tree_design.max_bins
-    mtry = str(trees.default_mtry(len(predictors)))
+    mtry = trees.default_mtry(len(predictors))
 
     view = lambda df, name: df.select("id", "default", *[c for c in df.columns if c == "fold"], F.col(name).alias("features"))
     design, nominal, ordered = (view(x_train, name) for name in ("design", "nominal", "ordered"))
@@ -203,31 +216,24 @@ def compare_models(
     grid = linear.grid_table(penalties, score_metrics(linear.alpha_scores(by_alpha, penalties, view(x_test, "design"))))
     penalty = linear.choose(grid)
     enet = by_alpha[[p.alpha for p in penalties].index(penalty.alpha)]
-    cart = trees.fit_cart(nominal, bins)
-    grow = lambda rows, n, k, **kw: trees.fit_bag(rows, n, seed + k, max_bins=bins, parallelism=parallelism, **kw)
-    bag = grow(nominal, bag_trees, 6, cp=trees.CP)
-    vote = grow(nominal, vote_trees, 7, max_depth=trees.VOTE_DEPTH, min_leaf=trees.VOTE_LEAF)
-    forest = grow(
-        ordered, forest_trees, 8, features_per_split=mtry, max_depth=trees.FOREST_DEPTH, min_leaf=trees.FOREST_LEAF
-    )
+    cart = fit_cart(nominal, bins)
+    bag = trees.fit_bag(nominal, bag_trees, seed + 6, max_bins=bins, cp=trees.CP)
+    vote = trees.fit_bag(nominal, vote_trees, seed + 7, max_bins=bins, max_depth=trees.VOTE_DEPTH, min_leaf=trees.VOTE_LEAF)
+    forest = trees.fit_bag(ordered, forest_trees, seed + 8, mtry, bins, trees.FOREST_DEPTH, trees.FOREST_LEAF)
 
     wide = linear.score(logit, x_test.withColumnRenamed("design", "features"), "p_logit")
     wide = linear.score(enet, wide, "p_enet").drop("features")
-    wide = linear.score(cart, wide.withColumnRenamed("nominal", "features"), "p_cart")
-    keep = ["id", "default", "ordered", "p_logit", "p_enet", "p_cart", "features"]
-    wide = trees.mean_vote(trees.tree_votes(bag, wide, keep=keep), "p_bag_custom")
-    wide = trees.mean_vote(trees.tree_votes(vote, wide, keep=[*keep, "p_bag_custom"]), "p_bag_ipred", majority=True)
-    wide = wide.drop("features").withColumnRenamed("ordered", "features")
-    scored = ["p_logit", "p_enet", "p_cart", "p_bag_custom", "p_bag_ipred"]
-    wide = trees.mean_vote(trees.tree_votes(forest, wide, keep=["id", "default", *scored]), "p_rf")
-    scores = kept(long_scores(wide.select("id", F.col("default").alias("y"), *scored, "p_rf")))
+    tree_scores = {
+        "p_cart": (cart.tree, "nominal", False), "p_bag_custom": (bag, "nominal", False),
+        "p_bag_ipred": (vote, "nominal", True), "p_rf": (forest, "ordered", False),
+    }
+    wide = trees.bag_scores(wide, tree_scores, ["id", "default", "p_logit", "p_enet"])
+    scores = kept(long_scores(wide.withColumnRenamed("default", "y")))
     metrics = rank_models(score_metrics(scores))
 
-    bag_oob = kept(trees.out_of_bag(trees.tree_votes(bag, nominal), len(bag), seed + 6))
+    bag_oob = trees.out_of_bag(bag).persist(StorageLevel.MEMORY_AND_DISK)
     path = oob_ops.oob_error_path(bag_oob)
-    vote_oob = trees.out_of_bag(trees.tree_votes(vote, nominal), len(vote), seed + 7)
-    forest_oob = trees.out_of_bag(trees.tree_votes(forest, ordered), len(forest), seed + 8)
-    sets = [("custom", bag_oob, False), ("ipred", vote_oob, True), ("forest", forest_oob, False)]
+    sets = [("custom", bag_oob, False), ("ipred", trees.out_of_bag(vote), True), ("forest", trees.out_of_bag(forest), False)]
     stacked = None
     for name, votes, majority in sets:
         part = oob_ops.oob_scores(votes, majority=majority).select("id", "y", F.lit(name).alias("model"), F.col("oob_prob").alias("p_hat"))
@@ -240,8 +246,9 @@ def compare_models(
     ]
     report = small_table(oob_ops.oob_report(oob_ops.oob_summary(path), oob_metrics.filter("model = 'custom'"), others))
     importance = trees.importance_table(forest, data.tree_design.names, data.train.sparkSession)
-    result = Comparison(scores, small_table(metrics), small_table(grid), penalty, report, small_table(path), importance)
-    for table in (x_train, bag_oob):
+    families = model_families(small_table(metrics), small_table(grid), cart.cp)
+    result = Comparison(scores, small_table(metrics), small_table(grid), penalty, report, small_table(path), importance, families)
+    for table in (x_train, bag_oob, cart.tree.rows, bag.rows, vote.rows, forest.rows):
         table.unpersist()
     return result
 
