@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanvane.llm.shared import stage
+from loanvane.llm.shared import give_back, stage
 
 MAX_ROUNDS = 60
 
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = stage(edges.filter("a <> b").select("a", "b").distinct(), "component-edges")
     seen = None
     for _ in range(MAX_ROUNDS):
-        now = stage(_small_star(_large_star(now)), "component-edges")
+        before, now = now, stage(_small_star(_large_star(now)), "component-edges")
+        give_back(before)
         mark = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first())
         if mark == seen:
             break

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loanvane.llm.components import connected_components
-from loanvane.llm.shared import WordHashes, exchange_buckets, group_offsets, mix, release_memory, size_checked, small_batches, stage, text_bytes
+from loanvane.llm.shared import WordHashes, exchange_buckets, give_back, group_offsets, mix, release_memory, size_checked, small_batches, stage, text_bytes
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -185,6 +185,7 @@ def sets_with_partner(docs: DataFrame, key: str, width: int, classes: DataFrame,
     reps = classes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     able = counts.join(reps, "cls").filter(100 * F.col("shared") >= NUMERATOR * F.col("n"))
     able = stage(able.select(F.col("rep"), F.col("cls").alias("rep_cls")), "join-able")
+    give_back(counts)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
     rows = rows.join(size_checked(able, BROADCAST_ROWS), F.col("doc_id") == F.col("rep")).select("rep", "rep_cls", "text")
 
@@ -197,7 +198,9 @@ def sets_with_partner(docs: DataFrame, key: str, width: int, classes: DataFrame,
                     out.append((rep.as_py(), len(tokens), tokens.tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(("rep", "n", "tokens"), r, strict=True)) for r in out], pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]))
 
-    return stage(rows.mapInArrow(gather, "rep long, n long, tokens binary").dropDuplicates(["rep"]), "join-sets")
+    sets = stage(rows.mapInArrow(gather, "rep long, n long, tokens binary").dropDuplicates(["rep"]), "join-sets")
+    give_back(able)
+    return sets
 
 
 # ---------------------------------------------------------------- step 3: links inside blocks of similar sets
@@ -247,7 +250,9 @@ def merge_round(sets: DataFrame, turn: int) -> DataFrame:
     blocks = keyed.groupBy("key").agg(F.count("*").alias("sets"), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("k"))
     placed = keyed.join(blocks.filter("sets > 1"), "key").select("rep", "key", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("k")).alias("block"))
     full = sets.join(placed.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("key", "block", "rep", "tokens")
-    return full.groupBy("key", "block").applyInArrow(block_edges, "a long, b long")
+    edges = stage(full.groupBy("key", "block").applyInArrow(block_edges, "a long, b long"), "join-edges")
+    give_back(keyed)
+    return edges
 
 
 # ---------------------------------------------------------------- step 4: links between components
@@ -333,25 +338,30 @@ def foreign_edges(sets: DataFrame, buckets: int) -> DataFrame:
     comps = able.groupBy("component").agg(F.count("*").alias("c_sets"), F.sum("n").alias("c_tokens"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.2))
     kind = F.when(F.col("c_tokens") >= GROUP_TOKENS, F.concat_ws("/", F.lit("c"), "component", band)).otherwise(F.concat_ws("/", F.lit("t"), "top", band))
-    able = stage(able.join(comps, "component").withColumn("kind", kind).drop("c_tokens", "top"), "join-able")
+    kinds = able = stage(able.join(comps, "component").withColumn("kind", kind).drop("c_tokens", "top"), "join-able")
     parts = able.groupBy("kind").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("k"))
     able = able.join(parts, "kind").withColumn("g", F.concat_ws("/", "kind", F.pmod(F.xxhash64("rep"), F.col("k"))))
     able = stage(able.select("rep", "n", "component", "c_sets", "e", "least", "g"), "join-groups")
+    give_back(kinds)
     nth = F.row_number().over(W.partitionBy("rep").orderBy("df", "token"))
     prefix = tokens.join(able, "rep").withColumn("nth", nth).filter(F.col("nth") <= F.col("e") - F.col("least") + 1)
     rank = F.struct("c_sets", "component").alias("rank")
     prefix = stage(prefix.select("token", "rep", "n", rank, "g"), "join-prefixes")
+    give_back(tokens)
     columns = prefix.groupBy("token", "g").agg(F.max("rank").alias("last"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     fits = (DENOMINATOR * F.col("hi") >= NUMERATOR * F.col("n")) & (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("lo"))
     asks = prefix.select("token", "rep", "n", "rank").join(columns, "token").filter((F.col("rank") < F.col("last")) & fits)
     asks = stage(asks.select("rep", "g").distinct(), "join-asks")
+    give_back(prefix)
     full = sets.select("rep", "tokens").join(able.select("rep", "n", "component", "c_sets", "g"), "rep")
     columns = "g string, union binary, reps array<long>, sizes array<long>, m_sets array<long>, m_comps array<long>, members array<binary>"
     groups = stage(full.groupBy("g").applyInArrow(pack_groups, columns), "join-columns")
     pairs = asks.join(full.drop("g"), "rep").join(groups, "g")
     pairs = pairs.select("rep", "tokens", "c_sets", "component", "union", "reps", "sizes", "m_sets", "m_comps", "members")
     with small_batches(spark, 16):
-        return stage(pairs.mapInArrow(open_groups, "a long, b long"), "join-links")
+        links = stage(pairs.mapInArrow(open_groups, "a long, b long"), "join-links")
+    give_back(asks, able, groups)
+    return links
 
 
 # ---------------------------------------------------------------- the join
@@ -376,11 +386,13 @@ def _components(docs: DataFrame, key: str, width: int) -> DataFrame:
     sets = sets_with_partner(docs, key, width, classes, buckets)
     edges = None
     for turn in range(MERGE_ROUNDS):
-        found = stage(merge_round(sets, turn), "join-edges")
+        found = merge_round(sets, turn)
         edges = found if edges is None else edges.union(found)
     first = connected_components(edges).withColumnRenamed("id", "rep")
     known = stage(sets.join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "join-known")
+    give_back(sets)
     links = foreign_edges(known, buckets)
+    give_back(known)
     own = classes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     of_class = classes.filter("n > 0").join(own, "cls").select("doc_id", "rep").filter("doc_id <> rep").distinct()
     final = connected_components(first.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(links))

@@ -50,7 +50,23 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there and lost executors cost nothing."""
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def give_back(*frames: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs.
+
+    Shuffle files go when the driver's collector finds their jobs unreachable, which may be long after their last use.
+    """
+    for df in frames:
+        path = getattr(df, "staged_at", None)
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
