@@ -39,6 +39,8 @@ BLOCK_SETS, BLOCK_TOKENS = 256, 1_000_000
 GROUP_TOKENS = 65_536
 MERGE_ROUNDS = 3
 BROADCAST_ROWS = 2_000_000
+# Numbers of sets without an id of their own go down from here, far below any id.
+NO_ID = -(1 << 62)
 
 
 def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -179,15 +181,20 @@ def shared_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFr
     return partial.groupBy("bucket").applyInArrow(add, "cls binary, shared long")
 
 
-def sets_with_partner(docs: DataFrame, key: str, width: int, classes: DataFrame, buckets: int) -> DataFrame:
-    """``(rep, n, tokens)`` of the class representatives that can have a link to another class."""
+def sets_with_partner(docs: DataFrame, key: str, width: int, classes: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """``(rep, n, tokens)`` of the sets that can have a link to another set, and the number ``rep`` of each by ``rep_cls``."""
     counts = stage(shared_counts(docs, key, width, buckets), "join-shared")
-    reps = classes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    reps = classes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("at"), F.max("n").alias("n"))
     able = counts.join(reps, "cls").filter(100 * F.col("shared") >= NUMERATOR * F.col("n"))
-    able = stage(able.select(F.col("rep"), F.col("cls").alias("rep_cls")), "join-able")
+    able = stage(able.select("at", F.col("cls").alias("rep_cls")), "join-able")
+    # a set goes by the smallest id that carries it; where an id carries several, the others get negative numbers
+    first = able.groupBy("at").agg(F.min("rep_cls").alias("first_cls"))
+    number = F.when(F.col("rep_cls") == F.col("first_cls"), F.col("at")).otherwise(F.lit(NO_ID) - F.monotonically_increasing_id())
+    named, able = able, stage(able.join(first, "at").select("at", "rep_cls", number.alias("rep")), "join-named")
+    give_back(named)
     give_back(counts)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
-    rows = rows.join(size_checked(able, BROADCAST_ROWS), F.col("doc_id") == F.col("rep")).select("rep", "rep_cls", "text")
+    rows = rows.join(size_checked(able, BROADCAST_ROWS), F.col("doc_id") == F.col("at")).select("rep", "rep_cls", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,8 +206,7 @@ def sets_with_partner(docs: DataFrame, key: str, width: int, classes: DataFrame,
             yield pa.RecordBatch.from_pylist([dict(zip(("rep", "n", "tokens"), r, strict=True)) for r in out], pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]))
 
     sets = stage(rows.mapInArrow(gather, "rep long, n long, tokens binary").dropDuplicates(["rep"]), "join-sets")
-    give_back(able)
-    return sets
+    return sets, able
 
 
 # ---------------------------------------------------------------- step 3: links inside blocks of similar sets
@@ -383,7 +389,7 @@ def _components(docs: DataFrame, key: str, width: int) -> DataFrame:
     classes = stage(set_classes(docs, key, width), "join-classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(exchange_buckets(spark), -(-total // BUCKET_TOKENS))
-    sets = sets_with_partner(docs, key, width, classes, buckets)
+    sets, named = sets_with_partner(docs, key, width, classes, buckets)
     edges = None
     for turn in range(MERGE_ROUNDS):
         found = merge_round(sets, turn)
@@ -393,17 +399,23 @@ def _components(docs: DataFrame, key: str, width: int) -> DataFrame:
     give_back(sets)
     links = foreign_edges(known, buckets)
     give_back(known)
-    own = classes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    of_class = classes.filter("n > 0").join(own, "cls").select("doc_id", "rep").filter("doc_id <> rep").distinct()
     final = connected_components(first.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(links))
-    # copies hang on their representative; ids that carry several texts join their components
-    twice = classes.filter("n > 0").groupBy("doc_id").agg(F.countDistinct("cls").alias("k")).filter("k > 1")
-    if not twice.isEmpty():
-        final = connected_components(final.select(F.col("id").alias("a"), F.col("component").alias("b")).union(of_class))
-        rows = classes.join(final, F.col("doc_id") == F.col("id"), "left")
-    else:
+    # copies hang on the smallest id of their class; sets with a number of their own go by it
+    own = classes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    own = own.join(named.select(F.col("rep_cls").alias("cls"), "rep"), "cls", "left").withColumn("rep", F.coalesce("rep", "least"))
+    several = classes.filter("n > 0").groupBy("doc_id").agg(F.countDistinct("cls").alias("k")).filter("k > 1 and doc_id is not null")
+    filled = classes.filter("n > 0")
+    if several.isEmpty():
         reps = own.join(final, F.col("rep") == F.col("id"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
-        rows = classes.filter("n > 0").join(reps, "cls").unionByName(classes.filter("n = 0").withColumn("component", F.col("doc_id")))
+        rows = filled.join(reps, "cls")
+    else:  # ids that carry several texts join the components of all of them, which are then named by their smallest id
+        of_id = filled.join(several, "doc_id").join(own, "cls").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        joined = connected_components(final.select(F.col("id").alias("a"), F.col("component").alias("b")).union(of_id.distinct()))
+        placed = filled.join(own, "cls").join(joined, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = placed.select("doc_id", "n", "component")
+        least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
+        rows = placed.join(least, "component").select("doc_id", "n", F.col("least").alias("component"))
+    rows = rows.select("doc_id", "n", "component").unionByName(classes.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

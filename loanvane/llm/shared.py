@@ -55,8 +55,8 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return staged
 
 
-def give_back(*frames: DataFrame) -> None:
-    """Delete the folders of staged tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs.
+def give_back(*frames: DataFrame, shuffles: bool = True) -> None:
+    """Delete the folders of staged tables that nothing reads any more, and let Spark drop the ``shuffles`` of finished jobs.
 
     Shuffle files go when the driver's collector finds their jobs unreachable, which may be long after their last use.
     """
@@ -65,7 +65,7 @@ def give_back(*frames: DataFrame) -> None:
         if path:
             target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-    if frames:
+    if frames and shuffles:
         frames[0].sparkSession._jvm.System.gc()
 
 

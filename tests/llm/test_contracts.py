@@ -340,6 +340,18 @@ def test_group_join_at_the_limit(spark):
     assert {i: r["component_id"] for i, r in out.items()} == want
 
 
+def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
+    """Rows 2 and 3 are near one text of row 1 each; 5 and 6 carry one text twice; 7 stays alone."""
+    rng = random.Random(17)
+    text = lambda: [f"w{rng.randrange(900)}" for _ in range(60)]
+    a, b, c = text(), text(), text()
+    near = lambda w, k: " ".join([*w[:-k], *["z"] * k])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 2)), (3, near(b, 2)), (4, " ".join(b)), (5, " ".join(c)), (6, " ".join(c)), (6, near(c, 1)), (7, "alone")]
+    out = group_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in out} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7}
+
+
 def test_group_join_of_nothing_and_one_of_each(docs, none, rows):
     assert group_join.similar_components(none).count() == 0
     _, want = brute_components({r[0]: r[1] for r in rows})
