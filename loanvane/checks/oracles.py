@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from loanvane.plans.loan_study import AUDIT_STEPS
 from loanvane.sources.loan_view import LOAN_SQL, VIEW_CATEGORICAL, VIEW_NUMERIC
+from loanvane.sources.reports import AUDIT_NAMES, EFFECT_NAMES
 
 LOANS = (
     LOAN_SQL.replace("{issue_d}", "strftime(o_orderdate, '%b-%Y')")
@@ -462,8 +464,8 @@ mid AS (SELECT model, quantile_cont(1 - p_hat, 0.5) FILTER (WHERE y = 0) AS m0,
     ),
     "metrics_union": query(
         f"{SCORES},\n{metrics(0.5)}",
-        f"""SELECT model, {six('error', 'error')}, {six('auc', 'auc')}, {six("CASE WHEN model = 'CART' THEN error * 2 END", 'cv_error')}
-FROM metrics""",
+        f"""SELECT model, {six('error', 'error')}, {six('auc', 'auc')}, {six("CASE WHEN model = 'Logit' THEN brier END", 'brier')},
+  {six("CASE WHEN model = 'CART' THEN accuracy END", 'accuracy')} FROM metrics""",
     ),
     "roc_points": query(
         f"{SCORES},\n{_CURVE}",
@@ -540,3 +542,12 @@ both_rows AS (SELECT 'Naive diff-in-means' AS estimator, theta, theta - 1.96::DO
   printf('%.2f [%.2f, %.2f]', 100 * theta, 100 * ci_low, 100 * ci_high) AS effect_ci FROM both_rows""",
     ),
 }
+
+_TEXTS = ", ".join(f"({i}, '{action}', '{note}')" for i, (action, note) in enumerate(AUDIT_STEPS, 1))
+_COUNTS = ("n_rows", "rows_removed", "n_cols", "cols_dropped", "cols_added")
+_AUDIT = {c: f"format('{{:,}}', CAST({c} AS BIGINT))" if c in _COUNTS else c for c in AUDIT_NAMES}
+ORACLES["audit_report"] = (
+    "SELECT " + ", ".join(f'{value} AS "{AUDIT_NAMES[c]}"' for c, value in _AUDIT.items())
+    + f" FROM ({ORACLES['audit_trail']}) JOIN (VALUES {_TEXTS}) t(step, action, notes) USING (step)"
+)
+ORACLES["effect_report"] = "SELECT " + ", ".join(f'{c} AS "{n}"' for c, n in EFFECT_NAMES.items()) + f" FROM ({ORACLES['effect_table']})"

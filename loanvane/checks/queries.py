@@ -280,6 +280,12 @@ def audit_trail(spark, sf):
     return rounded(audit.drop("action", "notes"))
 
 
+def audit_report(spark, sf):
+    """The audit trail as exported: display names, counts with thousands separators."""
+    audit = loan_study.build_modelling_data(loan_view(spark, sf), VIEW_YEARS, target_rows=loan_study.TARGET_ROWS).audit
+    return rounded(reports.report_table(describe.audit_display(audit), reports.AUDIT_NAMES))
+
+
 def quantile75(spark, sf):
     found = exact_quantiles(cohort_of(spark, sf), ["int_rate", "annual_inc"], [0.75])
     return rounded(found.select("variable", F.col("value").alias("q75")))
@@ -409,10 +415,10 @@ def auc_auto_direction(spark, sf):
 
 
 def metrics_union(spark, sf):
-    """Regression-family table: rows without a deviance carry NULL."""
-    found = scores.score_metrics(scores_of(spark, sf)).select("model", "error", "auc")
-    smooth = found.filter("model = 'Logit'")
-    steps = found.filter("model = 'CART'").withColumn("cv_error", F.col("error") * F.lit(2.0))
+    """Tables of two model families under each other: a measure that one of them does not report is NULL there."""
+    found = scores.score_metrics(scores_of(spark, sf))
+    smooth = found.filter("model = 'Logit'").select("model", "error", "auc", "brier")
+    steps = found.filter("model = 'CART'").select("model", "error", "auc", "accuracy")
     return rounded(smooth.unionByName(steps, allowMissingColumns=True))
 
 
@@ -489,6 +495,11 @@ def effect_table(spark, sf):
     return rounded(effects.effect_table([parts]))
 
 
+def effect_report(spark, sf):
+    """The effect table as exported."""
+    return effects.display_effects(effect_table(spark, sf), reports.EFFECT_NAMES)
+
+
 # --- models -----------------------------------------------------------------------------
 
 
@@ -580,12 +591,12 @@ ORDER = [
     vintage_summary, mean_vintage_rate, volume_line, app_type_counts, status_top20, loan_labels, cohort_rows,
     cohort_prefix_option, year_default_pivot, group_share, outcome_share, shape_log, rate_by_grade_term, rate_by_int_bin,
     max_bin_rate, risk_surface, report_texts, fico_bins, lump_purpose, var_flags, flag_crosstab, model_base_columns,
-    missing_profile, sd_profile, dominant_share, final_predictors, audit_trail, quantile75, strat_sample,
+    missing_profile, sd_profile, dominant_share, final_predictors, audit_trail, audit_report, quantile75, strat_sample,
     train_test_split, train_semi_join, split_balance, kfold_assign, train_medians, train_levels, impute_apply,
     unseen_levels, dq_checks, dq_checks_imputed, design_totals, high_rate_treatment, score_expr, score_unpivot,
     score_metrics, model_ranking, auc_exact, auc_auto_direction, metrics_union, roc_points, pr_curve, gains,
     screening_budget, score_density, oob_path, oob_summary, oob_scores, naive_effect, residuals, ols_residual,
-    dml_cell_mean, effect_table, design_matrix, logit, enet_grid, cart, cart_prices, bagging_oob, bagging_vote, forest,
+    dml_cell_mean, effect_table, effect_report, design_matrix, logit, enet_grid, cart, cart_prices, bagging_oob, bagging_vote, forest,
     model_comparison, dml_enet,
 ]
 
