@@ -3,16 +3,22 @@
 A seed comes from units: the most frequent words are units of their own, the others share one with the words of
 like ending. Exchange clustering assigns units to classes so that the class bigrams of the corpus are likely. Then, for some
 rounds, every other word seen ``LEAST_COUNT`` times or more goes to the class that raises that likelihood most, given the
-classes that stand before and after it; rarer and unknown words keep the class of their ending. The
+classes that stand before and after it, and the frequent words are exchanged anew between the classes found; a round counts only
+if the likelihood rose. Rarer and unknown words keep the class of their ending. The
 model gives a word the probability of its class after the class before, times the word's share in its class.
 
-Counts and neighbour classes of all words pass through packed exchanges and stay in written tables; texts ask such a table,
-bucket by bucket, for the classes and counts of their rarer words. No word table is held in one place: only
-counts between units, and between classes, come to the driver.
+Texts are cut into words once and kept as written chunks: the distinct words of a chunk, and per token the place of its word
+among them. A chunk asks the word table, bucket by bucket, for the classes and counts of its distinct words. Counts and neighbours of all words
+pass through packed exchanges. No word table is held in one place: only counts between units, and between classes, come to the driver. Written tables are
+deleted once nothing reads them; the chunks and the last word table stay, as the result reads them.
+
+Null and empty texts are an end alone; a text longer than a chunk is a chunk by itself; repeated rows are learned and scored each; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanvane.llm.shared import WordHashes, crc_fold, exchange_buckets, group_offsets, stage, text_bytes
+from loanvane.llm.shared import WordHashes, crc_fold, exchange_buckets, give_back, group_offsets, small_batches, stage, text_bytes
+
+log = logging.getLogger(__name__)
 
 FREQUENT_WORDS = 1000
 ENDING_BITS = 8
@@ -31,6 +39,7 @@ ROUNDS = 2
 LEAST_COUNT = 3
 SMOOTH = 0.1
 FLUSH_WORDS = 2_000_000
+BUCKET_BYTES = 1 << 27  # bytes of text per bucket of words, beyond as many buckets as shuffles have partitions
 ENDING = 3
 NO_ID = -(1 << 63)  # stands for a null key in packed arrays
 _LOW = np.uint64(64 - ENDING_BITS)
@@ -50,38 +59,77 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
 
 
-# ---------------------------------------------------------------- counts
+# ---------------------------------------------------------------- chunks
 
 
-def count_words(train: DataFrame, buckets: int) -> DataFrame:
-    """Written table ``(bucket, keys, counts, n, v)``: per bucket all words of ``train`` (sorted) and their counts."""
+def pack_texts(texts: DataFrame, buckets: int) -> DataFrame:
+    """Written table of chunks ``(chunk, held, ids, lengths, places, keys)`` of rows ``(doc, text, held)``.
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            at = _bucket(keys, buckets)
-            order = np.argsort(at, kind="stable")
-            keys, counts, at = keys[order], counts[order].astype(np.uint32), at[order]
-            runs = group_offsets(at)
-            cut = list(zip(runs[:-1], runs[1:], strict=True))
+    ``keys`` has the distinct words of the chunk by bucket, ``places`` for each token the place of its word in there. Held-out rows have chunks of their own.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        parts = {held: ([], []) for held in (False, True)}
+        sizes = {False: 0, True: 0}
+
+        def flush(held: bool) -> pa.RecordBatch:
+            ids, words = parts[held]
+            keys, place = np.unique(np.concatenate(words), return_inverse=True)
+            order = np.argsort(_bucket(keys, buckets), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            columns = (np.array(ids, np.int64), np.array([len(w) for w in words], np.int64), rank[place], keys[order])
+            parts[held], sizes[held] = ([], []), 0
             return pa.RecordBatch.from_arrays(
-                [pa.array(at[runs[:-1]].astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in cut], pa.binary())],
-                ["bucket", "keys", "counts"],
+                [pa.array([part << 32 | seq]), pa.array([held]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["chunk", "held", "ids", "lengths", "places", "keys"]
             )
 
         for batch in batches:
-            for text in batch.column(0):
-                keys = word_keys(text.as_py())
-                if len(keys):
-                    held.append(keys)
-                    n += len(keys)
-                if n >= FLUSH_WORDS:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
+            for doc, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = word_keys(text.as_py())
+                parts[held][0].append(NO_ID if doc is None else doc)
+                parts[held][1].append(words)
+                sizes[held] += len(words) + 1
+                if sizes[held] >= FLUSH_WORDS:
+                    yield flush(held)
+                    seq += 1
+        for held in (False, True):
+            if sizes[held]:
+                yield flush(held)
+                seq += 1
+
+    packed = texts.select("doc", "text", "held").mapInArrow(pack, "chunk long, held boolean, ids binary, lengths binary, places binary, keys binary")
+    return stage(packed, "lm-chunks")
+
+
+def _bordered(values: np.ndarray, lengths: np.ndarray, edge) -> np.ndarray:
+    """Values of the tokens of all texts, with ``edge`` before, between and after the texts."""
+    out = np.full(len(values) + len(lengths) + 1, edge, np.result_type(values, np.min_scalar_type(edge)))
+    out[_token_places(lengths)] = values
+    return out
+
+
+def _token_places(lengths: np.ndarray) -> np.ndarray:
+    return np.arange(lengths.sum()) + np.repeat(np.arange(len(lengths)), lengths) + 1
+
+
+def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Written table ``(bucket, keys, counts, n, v)``: per bucket all words of ``chunks`` (sorted) and their counts."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, places in zip(batch.column(0), batch.column(1), strict=True):
+                keys = np.frombuffer(keys.as_py(), np.uint64)
+                if not len(keys):
+                    continue
+                counts, at = np.bincount(np.frombuffer(places.as_py(), np.uint32), minlength=len(keys)).astype(np.uint32), _bucket(keys, buckets)
+                runs = group_offsets(at)
+                cut = list(zip(runs[:-1], runs[1:], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[runs[:-1]].astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in cut], pa.binary())],
+                    ["bucket", "keys", "counts"],
+                )
 
     def total(table: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
@@ -95,7 +143,7 @@ def count_words(train: DataFrame, buckets: int) -> DataFrame:
             }
         )
 
-    packed = train.select("text").mapInArrow(gather, "bucket int, keys binary, counts binary")
+    packed = chunks.select("keys", "places").mapInArrow(gather, "bucket int, keys binary, counts binary")
     return stage(packed.groupBy("bucket").applyInArrow(total, "bucket int, keys binary, counts binary, n long, v long"), "lm-words")
 
 
@@ -125,31 +173,61 @@ def units_of(keys: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return units
 
 
-def unit_bigrams(train: DataFrame, frequent: np.ndarray) -> np.ndarray:
-    """Counts of neighbouring units over all training texts; the last unit stands before and after each text."""
+# ---------------------------------------------------------------- neighbours
+
+_NEIGHBOURS = "b int, words binary, each binary, side binary, n binary"
+
+
+def neighbours(keys: np.ndarray, units: np.ndarray, places: np.ndarray, lengths: np.ndarray, size: int, frequent: int, buckets: int) -> pa.RecordBatch:
+    """Neighbours of a chunk's words whose units are not ``frequent``, a row per bucket, and in a row without bucket the bigrams of all units.
+
+    ``each`` tells how many neighbours a word has; ``side`` is the unit before it, or ``size`` and the unit after it; ``n`` are their counts. The last of ``size`` units is the border.
+    """
+    path, at = _bordered(units[places], lengths, size - 1), _token_places(lengths)
+    bigrams, counts = np.unique(path[:-1] * size + path[1:], return_counts=True)
+    rows = [(None, bigrams.tobytes(), None, None, counts.astype(np.int64).tobytes())]
+    rare = units[places] >= frequent
+    at, word = at[rare], places[rare].astype(np.int64) * (2 * size)
+    pairs, counts = np.unique(np.concatenate((word + path[at - 1], word + size + path[at + 1])), return_counts=True)
+    word, side, counts = pairs // (2 * size), (pairs % (2 * size)).astype(_small(2 * size)), counts.astype(np.uint32)
+    runs = group_offsets(word)
+    words, each = keys[word[runs[:-1]]], np.diff(runs).astype(np.uint32)
+    bucket = _bucket(words, buckets)
+    ends = group_offsets(bucket)
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        c, d = runs[a], runs[b]
+        rows.append((int(bucket[a]), words[a:b].tobytes(), each[a:b].tobytes(), side[c:d].tobytes(), counts[c:d].tobytes()))
+    types = (pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["b", "words", "each", "side", "n"])
+
+
+def seed_neighbours(chunks: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """Written ``neighbours`` of all chunks by the units of the seed."""
     size = len(frequent) + (1 << ENDING_BITS) + 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lengths, places, keys in zip(*(batch.column(i) for i in range(3)), strict=True):
+                keys = np.frombuffer(keys.as_py(), np.uint64)
+                yield neighbours(
+                    keys, units_of(keys, frequent), np.frombuffer(places.as_py(), np.uint32), np.frombuffer(lengths.as_py(), np.int64), size, len(frequent), buckets
+                )
+
+    return stage(chunks.select("lengths", "places", "keys").mapInArrow(find, _NEIGHBOURS), "lm-neighbours")
+
 
-        def flush() -> pa.RecordBatch:
-            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts.astype(np.int64))], ["pair", "n"])
+def unit_bigrams(found: DataFrame, size: int) -> np.ndarray:
+    """Counts of neighbouring units from written ``neighbours``; the last unit stands before and after each text."""
 
+    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                units = np.concatenate(([size - 1], units_of(word_keys(text.as_py()), frequent), [size - 1]))
-                held.append(units[:-1] * size + units[1:])
-                n += len(units)
-                if n >= FLUSH_WORDS:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
-
-    found = train.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # size**2 rows at most
+            for pairs, counts in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(pairs.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.int64))], ["pair", "n"])
+
+    rows = found.filter(F.col("b").isNull()).select("words", "n").mapInArrow(open_rows, "pair long, n long")
+    sums = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # size**2 rows at most
     bigrams = np.zeros(size * size, np.float64)
-    bigrams[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    bigrams[sums.column("pair").to_numpy()] = sums.column("n").to_numpy()
     return bigrams.reshape(size, size)
 
 
@@ -160,24 +238,41 @@ def _plogp(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def likelihood(joint: np.ndarray) -> float:
+    """Log-likelihood of class bigrams, but for a constant of the words' own counts."""
+    return float(_plogp(joint).sum() - _plogp(joint.sum(1)).sum() - _plogp(joint.sum(0)).sum())
+
+
+def folded(bigrams: np.ndarray, of: np.ndarray, classes: int) -> np.ndarray:
+    """Counts between classes from counts between units of classes ``of``."""
+    member = np.zeros((len(of), classes))
+    member[np.arange(len(of)), of] = 1
+    return member.T @ bigrams @ member
+
+
+def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, start: np.ndarray | None = None, movable: int | None = None) -> np.ndarray:
     """Class of each unit; the last unit (text border) keeps the last class for itself.
 
-    Units start by frequency rank and are moved one at a time to the class that raises the class bigram likelihood
-    most, until a sweep moves none.
+    Units start by frequency rank, or from ``start``, and are moved one at a time to the class that raises the class bigram likelihood
+    most, until a sweep moves none. With ``movable`` only that many first units move.
     """
     size = len(bigrams)
     totals = bigrams.sum(0) + bigrams.sum(1)
     order = np.lexsort((np.arange(size - 1), -totals[: size - 1]))
     free = classes - 1
-    of = np.empty(size, np.int64)
-    of[order] = np.arange(size - 1) % free
-    of[size - 1] = free
+    if start is None:
+        of = np.empty(size, np.int64)
+        of[order] = np.arange(size - 1) % free
+        of[size - 1] = free
+    else:
+        of = start.astype(np.int64)
     member = np.zeros((size, classes))
     member[np.arange(size), of] = 1
-    joint = member.T @ bigrams @ member
+    joint = folded(bigrams, of, classes)
     right, left = bigrams @ member, bigrams.T @ member  # unit to following class, unit to preceding class
     used = order[totals[order] > 0]
+    if movable is not None:
+        used = used[used < movable]
     for _ in range(sweeps):
         moved = 0
         for u in used:
@@ -224,32 +319,12 @@ def _small(n: int) -> type:
     return np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32
 
 
-def _seed_contexts(seed: dict):
-    """Rows of text to ``(keys of the words to place, classes before them, classes after them)``, by the classes of units."""
-
-    def contexts(batch: pa.RecordBatch):
-        frequent, of = seed["frequent"], seed["of"]
-        for text in batch.column(0):
-            keys = word_keys(text.as_py())
-            units = units_of(keys, frequent)
-            path = of[np.concatenate(([len(of) - 1], units, [len(of) - 1]))]
-            at = np.flatnonzero(units >= len(frequent))
-            yield keys[at], path[at], path[at + 2]
-
-    return contexts
-
-
-def _path_contexts(classes: int):
-    """The same from rows ``(path, asked, keys)`` of ``classed``."""
-
-    def contexts(batch: pa.RecordBatch):
-        for path, asked, keys in zip(*(batch.column(i) for i in range(3)), strict=True):
-            inner = np.frombuffer(path.as_py(), _small(classes)).astype(np.int64)
-            path = np.concatenate(([classes - 1], inner, [classes - 1]))
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(asked.as_py(), np.uint8), count=len(inner)))
-            yield np.frombuffer(keys.as_py(), np.uint64), path[at], path[at + 2]
-
-    return contexts
+def _classes_of(keys: np.ndarray, held: bytes | None, state: dict) -> np.ndarray:
+    """Classes of words: those of the frequent ones, else ``held`` of the table, else those of the endings."""
+    units = units_of(keys, state["frequent"])
+    classes = state["endings"][(keys >> _LOW).astype(np.int64)] if held is None else np.frombuffer(held, _small(state["classes"])).astype(np.int64)
+    known = units < len(state["frequent"])
+    return np.where(known, state["of"][np.where(known, units, 0)], classes) if len(state["frequent"]) else classes
 
 
 def class_gains(table: np.ndarray, home: np.ndarray, joint: np.ndarray) -> np.ndarray:
@@ -285,63 +360,29 @@ def class_gains(table: np.ndarray, home: np.ndarray, joint: np.ndarray) -> np.nd
     return gains
 
 
-def place_words(rows: DataFrame, contexts, vocabulary: DataFrame, joint: np.ndarray, seed: dict, buckets: int) -> DataFrame:
-    """Written table ``(bucket, keys, counts, classes)``: ``vocabulary`` with each word's class by its own neighbours in ``rows``.
+def place_words(found: DataFrame, vocabulary: DataFrame, fold: np.ndarray, joint: np.ndarray, state: dict) -> DataFrame:
+    """Written table ``(bucket, keys, counts, classes)``: ``vocabulary`` with each word's class by its own neighbours.
 
-    Words start from the column ``classes`` of ``vocabulary``, or from their units' classes where it is null.
+    ``found`` are written ``neighbours`` by units of classes ``fold``. Words start from the column ``classes`` of ``vocabulary``, or from their endings' classes where it is null.
     """
-    size = len(joint)
-    kind = _small(2 * size)
-    frequent, of = seed["frequent"], seed["of"]
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            keys, before, after = (np.concatenate(c) for c in zip(*held, strict=True))
-            words, place = np.unique(keys, return_inverse=True)
-            at = _bucket(words, buckets)
-            order = np.argsort(at, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            words, at, place = words[order], at[order], rank[place]
-            pairs, counts = np.unique(np.concatenate((place * (2 * size) + before, place * (2 * size) + size + after)), return_counts=True)
-            word, side = pairs // (2 * size), (pairs % (2 * size)).astype(kind)
-            runs = group_offsets(at)
-            cut = [(a, b, *np.searchsorted(word, (a, b))) for a, b in zip(runs[:-1], runs[1:], strict=True)]
-            columns = (
-                [words[a:b].tobytes() for a, b, _, _ in cut], [(word[c:d] - a).astype(np.uint32).tobytes() for a, _, c, d in cut],
-                [side[c:d].tobytes() for _, _, c, d in cut], [counts[c:d].astype(np.uint32).tobytes() for _, _, c, d in cut],
-            )
-            return pa.RecordBatch.from_arrays([pa.array(at[runs[:-1]].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], ["b", "words", "word", "side", "n"])
-
-        for batch in batches:
-            for found in contexts(batch):
-                if len(found[0]):
-                    held.append(found)
-                    n += len(found[0])
-                if n >= FLUSH_WORDS:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
+    size, units = len(joint), len(fold)
+    kind, frequent = _small(2 * units), state["frequent"]
+    sides = np.concatenate((fold, size + fold))
 
     def place(known: pa.Table, seen: pa.Table) -> pa.Table:
         names = ["bucket", "keys", "counts", "classes"]
         if not known.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())], names)
         keys, counts = np.frombuffer(known.column("keys")[0].as_py(), np.uint64), np.frombuffer(known.column("counts")[0].as_py(), np.int64)
-        units = units_of(keys, frequent)
-        held = known.column("classes")[0].as_py()
-        classes = of[units].astype(np.int64) if held is None else np.frombuffer(held, _small(size)).astype(np.int64)
-        movable = np.flatnonzero((units >= len(frequent)) & (counts >= LEAST_COUNT))
+        classes = _classes_of(keys, known.column("classes")[0].as_py(), state)
+        movable = np.flatnonzero((units_of(keys, frequent) >= len(frequent)) & (counts >= LEAST_COUNT))
         slot = np.full(len(keys), -1)
         slot[movable] = np.arange(len(movable))
         cells, sums = [], []
-        for words, word, side, n in zip(*(seen.column(c) for c in ("words", "word", "side", "n")), strict=True):
-            own = slot[np.searchsorted(keys, np.frombuffer(words.as_py(), np.uint64))][np.frombuffer(word.as_py(), np.uint32)]
+        for words, each, side, n in zip(*(seen.column(c) for c in ("words", "each", "side", "n")), strict=True):
+            own = np.repeat(slot[np.searchsorted(keys, np.frombuffer(words.as_py(), np.uint64))], np.frombuffer(each.as_py(), np.uint32))
             there = own >= 0
-            cells.append(own[there] * (2 * size) + np.frombuffer(side.as_py(), kind)[there])
+            cells.append(own[there] * (2 * size) + sides[np.frombuffer(side.as_py(), kind)[there]])
             sums.append(np.frombuffer(n.as_py(), np.uint32)[there])
         if len(movable) and cells:
             cells, sums = np.concatenate(cells), np.concatenate(sums)
@@ -360,151 +401,87 @@ def place_words(rows: DataFrame, contexts, vocabulary: DataFrame, joint: np.ndar
             [known.column("bucket"), known.column("keys"), known.column("counts"), pa.array([classes.astype(_small(size)).tobytes()], pa.binary())], names
         )
 
-    packed = rows.mapInArrow(gather, "b int, words binary, word binary, side binary, n binary")
     left = vocabulary.select("bucket", "keys", "counts", "classes").groupBy("bucket")
-    return stage(left.cogroup(packed.groupBy("b")).applyInArrow(place, "bucket int, keys binary, counts binary, classes binary"), "lm-classes")
+    placed = left.cogroup(found.filter(F.col("b").isNotNull()).groupBy("b")).applyInArrow(place, "bucket int, keys binary, counts binary, classes binary")
+    return stage(placed, "lm-classes")
 
 
-def classed(texts: DataFrame, table: DataFrame, seed: dict, buckets: int, with_keys: bool = False) -> DataFrame:
-    """Per row of ``texts`` (key, text): ``(doc, n_known, log_counts, path, asked, keys)``.
-
-    ``path`` has the class of each word by ``table``. With ``with_keys``, ``asked`` marks the words that are not among the seed's frequent ones, as packed bits, and
-    ``keys`` has them, but the sums are not made; without, both are null.
-    """
-    classes = seed["classes"]
-    kind, bucket_kind = _small(classes), _small(buckets)
+def look_up(chunks: DataFrame, table: DataFrame, state: dict, buckets: int, settle, schema: str, with_counts: bool) -> DataFrame:
+    """``settle(head, classes, counts)`` of every chunk, with the classes (and counts) of its distinct words by ``table``."""
+    kind = _small(state["classes"])
+    names, types = ["chunk", "bucket", "classes", "counts"], (pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per chunk with what is known of its documents, and rows per bucket with the words to look up."""
-        frequent, of = seed["frequent"], seed["of"]
-        part, seq = TaskContext.get().partitionId(), 0
-        ids, sums, paths, words, owners, held = [], [], [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            chunk = part << 32 | seq
-            word, owner = np.concatenate(words), np.concatenate(owners)
-            at = _bucket(word, buckets)
-            own = [
-                (chunk, None, np.array(ids, np.int64).tobytes(), np.array(sums, np.float64).tobytes(), np.concatenate(paths).tobytes(),
-                 at.astype(bucket_kind).tobytes(), word.tobytes() if with_keys else None)
-            ]
-            order = np.argsort(at, kind="stable")
-            word, owner, at = word[order], owner[order], at[order]
-            runs = group_offsets(at) if len(at) else np.zeros(1, np.int64)
-            own += [(chunk, int(at[a]), word[a:b].tobytes(), None if with_keys else owner[a:b].tobytes(), None, None, None) for a, b in zip(runs[:-1], runs[1:], strict=True)]
-            types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), types, strict=True)], ["chunk", "bucket", "a", "b", "c", "d", "e"])
-
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys = word_keys(text.as_py())
-                units = units_of(keys, frequent)
-                known = units < len(frequent)
-                sums.append((len(keys), known.sum(), seed["frequent_log"][units[known]].sum()))
-                paths.append(np.where(known, of[units], classes - 1).astype(kind))  # no word has the border's class: it marks the words to ask for
-                ids.append(NO_ID if doc is None else doc)
-                words.append(keys[~known])
-                owners.append(np.full(len(words[-1]), len(ids) - 1, np.uint32))
-                held += len(keys) + 1
-                if held >= FLUSH_WORDS:
-                    yield flush()
-                    seq += 1
-                    ids, sums, paths, words, owners, held = [], [], [], [], [], 0
-        if ids:
-            yield flush()
+            for chunk, keys in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = np.frombuffer(keys.as_py(), np.uint64)
+                at = _bucket(keys, buckets)
+                runs = group_offsets(at)
+                cut = list(zip(runs[:-1], runs[1:], strict=True))
+                if cut:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([chunk] * len(cut)), pa.array(at[runs[:-1]].astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary())], ["chunk", "bucket", "words"]
+                    )
 
     def answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
-        """Per chunk: sums of log counts and numbers of known words of its documents, and the class of each word asked for."""
+        words = counts = np.zeros(0, np.uint64)
         if known.num_rows:
             words, counts = np.frombuffer(known.column("keys")[0].as_py(), np.uint64), np.frombuffer(known.column("counts")[0].as_py(), np.int64)
-            of_words = np.frombuffer(known.column("classes")[0].as_py(), kind)
-        else:
-            words, counts, of_words = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, kind)
+            of_words = _classes_of(words, known.column("classes")[0].as_py(), state)
         out = []
-        for chunk, left, right in zip(*(asked.column(c) for c in ("chunk", "a", "b")), strict=True):
-            word = np.frombuffer(left.as_py(), np.uint64)
-            c = np.zeros(len(word))
-            cls = seed["of"][units_of(word, seed["frequent"])].astype(kind)
+        for chunk, own in zip(asked.column("chunk").to_pylist(), asked.column("words"), strict=True):
+            word = np.frombuffer(own.as_py(), np.uint64)
+            cls, n = _classes_of(word, None, state), np.zeros(len(word), np.int64)
             if len(words):
                 at = np.searchsorted(words, word)
                 at[at == len(words)] = 0
                 hit = words[at] == word
-                c, cls = np.where(hit, counts[at], 0), np.where(hit, of_words[at], cls)
-            some = parts = None
-            if not with_keys:
-                owners, place = np.unique(np.frombuffer(right.as_py(), np.uint32), return_inverse=True)
-                some, parts = owners.tobytes(), np.column_stack((np.bincount(place, np.log10(c + SMOOTH)), np.bincount(place, c > 0))).tobytes()
-            out.append((chunk.as_py(), int(key[0].as_py()), some, parts, cls.tobytes(), None, None))
-        types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["chunk", "bucket", "a", "b", "c", "d", "e"])
-
-    def settle(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "a", "b", "c", "d", "e")), strict=True), key=lambda r: -1 if r[0] is None else r[0])
-        _, ids, sums, path, at, keys = rows[0]
-        ids, sums = np.frombuffer(ids, np.int64), np.frombuffer(sums, np.float64).reshape(-1, 3).copy()
-        path = np.frombuffer(path, kind).copy()
-        asked = path == classes - 1
-        places = np.flatnonzero(asked)[np.argsort(np.frombuffer(at, bucket_kind), kind="stable")]
-        if len(places):
-            path[places] = np.frombuffer(b"".join(r[3] for r in rows[1:]), kind)
-        for _, owners, parts, *_ in () if with_keys else rows[1:]:
-            owner, part = np.frombuffer(owners, np.uint32).astype(np.int64), np.frombuffer(parts, np.float64).reshape(-1, 2)
-            sums[owner, 1] += part[:, 1]
-            sums[owner, 2] += part[:, 0]
-        ends = np.concatenate(([0], np.cumsum(sums[:, 0].astype(np.int64))))
-        cut = list(zip(ends[:-1], ends[1:], strict=True))
-        marks, words = [None] * len(ids), [None] * len(ids)
-        if with_keys:
-            marks = [np.packbits(asked[a:b]).tobytes() for a, b in cut]
-            before = np.concatenate(([0], np.cumsum(asked)))[ends] * 8
-            words = [keys[a:b] for a, b in zip(before[:-1], before[1:], strict=True)]
-        return pa.table(
-            {
-                "doc": pa.array(ids), "n_known": pa.array(sums[:, 1].astype(np.int64)), "log_counts": pa.array(sums[:, 2].copy()),
-                "path": pa.array([path[a:b].tobytes() for a, b in cut], pa.binary()), "asked": pa.array(marks, pa.binary()), "keys": pa.array(words, pa.binary()),
-            }
-        )
+                cls, n = np.where(hit, of_words[at], cls), np.where(hit, counts[at], 0)
+            out.append((chunk, int(key[0].as_py()), cls.astype(kind).tobytes(), n.tobytes() if with_counts else None))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    def finish(head: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(answers.column(c).to_pylist() for c in names[1:]), strict=True)) if answers.num_rows else []
+        classes = np.frombuffer(b"".join(r[1] for r in rows), kind).astype(np.int64)
+        counts = np.frombuffer(b"".join(r[2] for r in rows), np.int64) if with_counts else None
+        return settle({c: head.column(c)[0].as_py() for c in ("ids", "lengths", "places", "keys")}, classes, counts)
 
-    row = "chunk long, bucket int, a binary, b binary, c binary, d binary, e binary"
-    asked = stage(texts.mapInArrow(ask, row), "lm-asked")
-    heads = asked.filter(F.col("bucket").isNull())
-    lookups = asked.filter(F.col("bucket").isNotNull())
+    asked = chunks.select("chunk", "keys").mapInArrow(ask, "chunk long, bucket int, words binary")
     known = table.select(F.col("bucket").alias("k"), "keys", "counts", "classes")
-    answers = lookups.groupBy("bucket").cogroup(known.groupBy("k")).applyInArrow(_only_asked(answer), row)
-    return heads.unionByName(answers).groupBy("chunk").applyInArrow(settle, "doc long, n_known long, log_counts double, path binary, asked binary, keys binary")
+    answers = asked.groupBy("bucket").cogroup(known.groupBy("k")).applyInArrow(_only_asked(answer, names, types), "chunk long, bucket int, classes binary, counts binary")
+    heads = chunks.select("chunk", "ids", "lengths", "places", "keys").groupBy("chunk")
+    return heads.cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
 
 
-def class_bigrams(paths: DataFrame, classes: int) -> np.ndarray:
-    """Counts of neighbouring classes over all rows; the last class stands before and after each."""
+def class_neighbours(chunks: DataFrame, table: DataFrame, state: dict, buckets: int) -> DataFrame:
+    """Written ``neighbours`` of all chunks; units are the frequent words, then the classes of ``table`` for all others."""
+    frequent = state["frequent"]
+    size = len(frequent) + state["classes"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(classes * classes, np.int64)
-        for batch in batches:
-            for path in batch.column(0):
-                path = np.concatenate(([classes - 1], np.frombuffer(path.as_py(), _small(classes)).astype(np.int64), [classes - 1]))
-                np.add.at(sums, path[:-1] * classes + path[1:], 1)
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["pair", "n"])
+    def settle(head: dict, classes: np.ndarray, _) -> pa.Table:
+        keys = np.frombuffer(head["keys"], np.uint64)
+        units = units_of(keys, frequent)
+        units = np.where(units < len(frequent), units, len(frequent) + classes)
+        found = neighbours(keys, units, np.frombuffer(head["places"], np.uint32), np.frombuffer(head["lengths"], np.int64), size, len(frequent), buckets)
+        return pa.Table.from_batches([found])
 
-    found = paths.select("path").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    joint = np.zeros(classes * classes)
-    joint[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    return joint.reshape(classes, classes)
+    return stage(look_up(chunks, table, state, buckets, settle, _NEIGHBOURS, False), "lm-neighbours")
 
 
-def class_sums(table: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def class_sums(table: DataFrame, state: dict) -> tuple[np.ndarray, np.ndarray]:
     """Number of words and of tokens per class."""
+    classes = state["classes"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, n = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
-            for counts, of in zip(batch.column(0), batch.column(1), strict=True):
-                of = np.frombuffer(of.as_py(), _small(classes)).astype(np.int64)
+            for keys, counts, held in zip(*(batch.column(i) for i in range(3)), strict=True):
+                of = _classes_of(np.frombuffer(keys.as_py(), np.uint64), held.as_py(), state)
                 v += np.bincount(of, minlength=classes)
                 n += np.bincount(of, np.frombuffer(counts.as_py(), np.int64), classes).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(v), pa.array(n)], ["class", "v", "n"])
 
-    found = table.select("counts", "classes").mapInArrow(sums, "class long, v long, n long").groupBy("class").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    found = table.select("keys", "counts", "classes").mapInArrow(sums, "class long, v long, n long").groupBy("class").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     v, n = np.zeros(classes), np.zeros(classes)
     for r in found.collect():
         v[r["class"]], n[r["class"]] = r["v"], r["n"]
@@ -514,40 +491,54 @@ def class_sums(table: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- scores
 
 
-def class_model(train: DataFrame, buckets: int, frequent_limit: int, classes: int, rounds: int = ROUNDS, scored: tuple | None = None) -> dict:
-    """Everything scoring needs but the rarer words' counts and classes, which stay in the table ``vocabulary``.
-
-    ``scored`` has rows (doc, text) that include those of ``train``, and a function from their ``doc`` to whether a row is held out: the last class bigrams then
-    come from the written ``paths`` of these, so that training texts are not looked up twice.
-    """
-    train = train.select(F.lit(0).cast("long").alias("doc"), "text")
-    vocabulary = count_words(train, buckets)
-    frequent, frequent_n = frequent_words(vocabulary, frequent_limit)
-    bigrams = unit_bigrams(train, frequent)
-    of = exchange_classes(bigrams, classes)
+def class_model(train: DataFrame | None, buckets: int, frequent_limit: int, classes: int, rounds: int = ROUNDS, chunks: DataFrame | None = None) -> dict:
+    """Everything scoring needs but the words' counts and classes, which stay in the table ``vocabulary``; learned from the texts of ``train``, or from packed ``chunks``."""
+    if chunks is None:
+        chunks = pack_texts(train.select(F.lit(0).cast("long").alias("doc"), "text", F.lit(False).alias("held")), buckets)
+    spark = chunks.sparkSession
+    with small_batches(spark, 4):  # rows are chunks
+        vocabulary = count_words(chunks, buckets)
+        frequent, frequent_n = frequent_words(vocabulary, frequent_limit)
+        found = seed_neighbours(chunks, frequent, buckets)
+    bigrams = unit_bigrams(found, len(frequent) + (1 << ENDING_BITS) + 1)
+    fold = exchange_classes(bigrams, classes)
     ends = float(bigrams[-1].sum())
-    seed = {"frequent": frequent, "frequent_log": np.log10(frequent_n + SMOOTH), "of": of, "classes": classes}
-    member = np.zeros((len(of), classes))
-    member[np.arange(len(of)), of] = 1
-    joint = member.T @ bigrams @ member
-    rows, contexts = train.select("text"), _seed_contexts(seed)
-    table = vocabulary.withColumn("classes", F.lit(None).cast("binary"))
+    state = {"frequent": frequent, "of": fold[: len(frequent)], "endings": fold[len(frequent) : -1], "classes": classes}
+    joint = folded(bigrams, fold, classes)
+    table, files = vocabulary.withColumn("classes", F.lit(None).cast("binary")), vocabulary
     for i in range(rounds):
-        table = place_words(rows, contexts, table, joint, seed, buckets)
-        if i + 1 < rounds:
-            rows, contexts = stage(classed(train, table, seed, buckets, with_keys=True).select("path", "asked", "keys"), "lm-paths"), _path_contexts(classes)
-            joint = class_bigrams(rows, classes)
-    paths = stage(classed(scored[0] if scored else train, table, seed, buckets).select("doc", "n_known", "log_counts", "path"), "lm-paths")
-    joint = class_bigrams(paths.filter(~scored[1](F.nullif("doc", F.lit(NO_ID)))) if scored else paths, classes)
-    class_v, class_n = class_sums(table, classes)
+        placed = place_words(found, table, fold, joint, state)
+        with small_batches(spark, 32):
+            after = class_neighbours(chunks, placed, state, buckets)
+        bigrams = unit_bigrams(after, len(frequent) + classes)
+        start = np.concatenate((state["of"], np.arange(classes)))
+        rose = likelihood(folded(bigrams, start, classes)) - likelihood(joint)
+        log.info("round %d of placing words: log-likelihood changes by %.1f", i + 1, rose)
+        if rose <= 0:
+            give_back(placed, after)
+            break
+        give_back(found, files)
+        table = files = placed
+        found = after
+        fold = exchange_classes(bigrams, classes, start=start, movable=len(frequent))
+        state = state | {"of": fold[: len(frequent)]}
+        joint = folded(bigrams, fold, classes)
+    give_back(found)
+    class_v, class_n = class_sums(table, state)
     n_all, v_all = float(class_n.sum() + ends), float(class_v.sum() + (ends > 0))
     class_v[-1], class_n[-1] = 1, ends
-    return seed | {
-        "vocabulary": table, "paths": paths, "step": np.log10((joint + SMOOTH) / (joint.sum(1, keepdims=True) + SMOOTH * classes)), "class_base": np.log10(class_n + SMOOTH * (class_v + 1)),
+    return state | {
+        "vocabulary": table, "step": np.log10((joint + SMOOTH) / (joint.sum(1, keepdims=True) + SMOOTH * classes)), "class_base": np.log10(class_n + SMOOTH * (class_v + 1)),
         "n": int(n_all), "base": float(np.log10(n_all + SMOOTH * (v_all + 1))), "end_log": float(np.log10(ends + SMOOTH)), "ends": ends, "joint": joint,
     }
 
 
+def word_buckets(docs: DataFrame) -> int:
+    """Buckets of the word table: as many as shuffles have partitions, and more where there are over ``BUCKET_BYTES`` of text for each."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return max(exchange_buckets(docs.sparkSession), -(-total // BUCKET_BYTES))
+
+
 def score_documents(
     docs: DataFrame, key: str = "doc_id", fold: int = 10, frequent_limit: int = FREQUENT_WORDS, classes: int = CLASSES
 ) -> DataFrame:
@@ -556,41 +547,36 @@ def score_documents(
     ``docs`` has an integer key and ``text``. Rows whose key's CRC-32 is divisible by ``fold`` are held out of learning. A text's end
     is a token; null and empty texts have that token alone. Rows of equal key are scored each.
     """
-    spark = docs.sparkSession
-    buckets = exchange_buckets(spark)
-    held_out = lambda doc: crc_fold(doc, fold) == 0
-    texts = docs.select(F.col(key).cast("long").alias("doc"), "text")
-    model = class_model(texts.filter(~held_out(F.col("doc"))), buckets, frequent_limit, classes, scored=(texts, held_out))
-    paths = model.pop("paths")
-    local = {name: model[name] for name in ("step", "class_base", "end_log", "ends", "base", "n")}
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, smooth = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for i, path in enumerate(batch.column(3)):
-                path = np.concatenate(([classes - 1], np.frombuffer(path.as_py(), _small(classes)).astype(np.int64), [classes - 1]))
-                n[i], smooth[i] = len(path) - 1, local["step"][path[:-1], path[1:]].sum() - local["class_base"][path[1:]].sum()
-            logs = batch.column(2).to_numpy() + local["end_log"]
-            known = batch.column(1).to_numpy() + int(local["ends"] > 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(known), pa.array(logs - n * local["base"]), pa.array(logs + smooth)], ["doc", "n_tokens", "n_known", "base_score", "score"]
-            )
-
-    result = paths.mapInArrow(score, "doc long, n_tokens long, n_known long, base_score double, score double")
+    buckets = word_buckets(docs)
+    held_out = crc_fold(F.col("doc"), fold) == 0
+    chunks = pack_texts(docs.select(F.col(key).cast("long").alias("doc"), "text").withColumn("held", held_out), buckets)
+    model = class_model(None, buckets, frequent_limit, classes, chunks=chunks.filter(~F.col("held")))
+    table = model.pop("vocabulary")
+    state = {name: model[name] for name in ("frequent", "of", "endings", "classes")}
+    local = {name: model[name] for name in ("step", "class_base", "end_log", "ends", "base")}
+
+    def settle(head: dict, of_words: np.ndarray, counts: np.ndarray) -> pa.Table:
+        ids, lengths, places = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["lengths"], np.int64), np.frombuffer(head["places"], np.uint32)
+        path = _bordered(of_words[places], lengths, classes - 1)
+        logs = _bordered(np.log10(counts + SMOOTH)[places], lengths, local["end_log"])[1:]
+        known = _bordered((counts > 0).astype(np.int64)[places], lengths, int(local["ends"] > 0))[1:]
+        smooth = local["step"][path[:-1], path[1:]] - local["class_base"][path[1:]]
+        n, starts = lengths + 1, np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+        known, logs, smooth = (np.add.reduceat(x, starts) for x in (known, logs, smooth))
+        return pa.table({"doc": ids, "n_tokens": n, "n_known": known, "base_score": logs - n * local["base"], "score": logs + smooth})
+
+    result = look_up(chunks, table, state, buckets, settle, "doc long, n_tokens long, n_known long, base_score double, score double", True)
     result = result.withColumn("doc", F.nullif(F.col("doc"), F.lit(NO_ID)))
     return result.select(
-        F.col("doc").alias(key), (crc_fold(F.col("doc"), fold) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(local["n"]).cast("long").alias("train_tokens"),
+        F.col("doc").alias(key), (crc_fold(F.col("doc"), fold) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"),
         "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
 
-def _only_asked(answer):
+def _only_asked(answer, names: list[str], types: tuple):
     """Buckets that no document asks for give no rows."""
 
     def either(key, asked: pa.Table, known: pa.Table) -> pa.Table:
-        if asked.num_rows:
-            return answer(key, asked, known)
-        empty = [pa.array([], t) for t in (pa.int64(), pa.int32(), *[pa.binary()] * 5)]
-        return pa.table(empty, ["chunk", "bucket", "a", "b", "c", "d", "e"])
+        return answer(key, asked, known) if asked.num_rows else pa.table([pa.array([], t) for t in types], names)
 
     return either

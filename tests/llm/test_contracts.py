@@ -532,3 +532,39 @@ def test_gains_are_differences_of_the_likelihood():
     gains = class_lm.class_gains(table, of[[u]], joint)[0]
     want = np.array([likelihood(np.where(np.arange(14) == u, c, of))[0] for c in range(4)])
     assert gains - gains[of[u]] == pytest.approx(want - want[of[u]], abs=1e-6)
+
+
+def test_class_scores_equal_a_plain_recomputation(docs, rows):
+    """Class bigrams, sums and scores follow from the classes of the words alone, whatever the buckets and chunks."""
+    unique = docs.dropDuplicates(["doc_id"])
+    texts = {r[0]: low(r[1]).encode().split() for r in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    train = unique.filter(~unique.doc_id.isin([i for i in texts if held[i]]))
+    model = class_lm.class_model(train, 3, 40, 6)
+    of, counts = {}, {}
+    for r in model["vocabulary"].collect():
+        keys = np.frombuffer(r["keys"], np.uint64)
+        of |= dict(zip(keys.tolist(), class_lm._classes_of(keys, r["classes"], model).tolist(), strict=True))
+        counts |= dict(zip(keys.tolist(), np.frombuffer(r["counts"], np.int64).tolist(), strict=True))
+
+    def path_of(words):
+        keys = class_lm.word_keys(b" ".join(words).decode())
+        return keys.tolist(), [5, *(of.get(int(k), int(model["endings"][int(k) >> 56])) for k in keys), 5]
+
+    joint = np.zeros((6, 6))
+    for i, words in texts.items():
+        if not held[i]:
+            path = path_of(words)[1]
+            np.add.at(joint, (path[:-1], path[1:]), 1)
+    assert np.array_equal(joint, model["joint"])
+    ends = sum(not h for h in held.values())
+    n = [sum(counts[k] for k in of if of[k] == c) for c in range(5)] + [ends]
+    v = [sum(of[k] == c for k in of) for c in range(5)] + [1]
+    out = found(class_lm.score_documents(unique, frequent_limit=40, classes=6))
+    for i, words in texts.items():
+        keys, path = path_of(words)
+        token_counts = [counts.get(k, 0) for k in keys] + [ends]
+        want = 0.0
+        for a, b, c in zip(path[:-1], path[1:], token_counts, strict=True):
+            want += math.log10((joint[a, b] + 0.1) / (joint[a].sum() + 0.6)) + math.log10((c + 0.1) / (n[b] + 0.1 * (v[b] + 1)))
+        assert out[i]["score"] == pytest.approx(want, rel=1e-9)
