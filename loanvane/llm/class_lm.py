@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanvane.llm.shared import WordHashes, crc_fold, exchange_buckets, give_back, group_offsets, small_batches, stage, text_bytes
+from loanvane.llm.shared import WordHashes, crc_fold, drop_shuffles, exchange_buckets, give_back, group_offsets, small_batches, stage, text_bytes
 
 log = logging.getLogger(__name__)
 
@@ -59,13 +59,25 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """Small numbers, byte by byte of their places of value, compressed: they pass through tables and shuffles in this form."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd").compress(raw, asbytes=True) if raw else b"")
+
+
+def _open(packed: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    raw = pa.Codec("zstd").decompress(packed[8:], size, asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 # ---------------------------------------------------------------- chunks
 
 
-def pack_texts(texts: DataFrame, buckets: int) -> DataFrame:
+def pack_texts(texts: DataFrame) -> DataFrame:
     """Written table of chunks ``(chunk, held, ids, lengths, places, keys)`` of rows ``(doc, text, held)``.
 
-    ``keys`` has the distinct words of the chunk by bucket, ``places`` for each token the place of its word in there. Held-out rows have chunks of their own.
+    ``keys`` has the distinct words of the chunk, the usual ones first, ``places`` for each token the place of its word in there. Held-out rows have chunks of their own.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +87,14 @@ def pack_texts(texts: DataFrame, buckets: int) -> DataFrame:
 
         def flush(held: bool) -> pa.RecordBatch:
             ids, words = parts[held]
-            keys, place = np.unique(np.concatenate(words), return_inverse=True)
-            order = np.argsort(_bucket(keys, buckets), kind="stable")
+            keys, place, n = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            columns = (np.array(ids, np.int64), np.array([len(w) for w in words], np.int64), rank[place], keys[order])
+            columns = (np.array(ids, np.int64).tobytes(), np.array([len(w) for w in words], np.int64).tobytes(), _squeeze(rank[place]), keys[order].tobytes())
             parts[held], sizes[held] = ([], []), 0
             return pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | seq]), pa.array([held]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["chunk", "held", "ids", "lengths", "places", "keys"]
+                [pa.array([part << 32 | seq]), pa.array([held]), *(pa.array([c], pa.binary()) for c in columns)], ["chunk", "held", "ids", "lengths", "places", "keys"]
             )
 
         for batch in batches:
@@ -123,17 +135,19 @@ def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
                 keys = np.frombuffer(keys.as_py(), np.uint64)
                 if not len(keys):
                     continue
-                counts, at = np.bincount(np.frombuffer(places.as_py(), np.uint32), minlength=len(keys)).astype(np.uint32), _bucket(keys, buckets)
+                counts, at = np.bincount(_open(places.as_py(), np.uint32), minlength=len(keys)).astype(np.uint32), _bucket(keys, buckets)
+                order = np.argsort(at, kind="stable")
+                keys, counts, at = keys[order], counts[order], at[order]
                 runs = group_offsets(at)
                 cut = list(zip(runs[:-1], runs[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at[runs[:-1]].astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in cut], pa.binary())],
+                    [pa.array(at[runs[:-1]].astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([_squeeze(counts[a:b]) for a, b in cut], pa.binary())],
                     ["bucket", "keys", "counts"],
                 )
 
     def total(table: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
+        counts = np.concatenate([_open(x, np.uint32) for x in table.column("counts").to_pylist()])
         distinct, at = np.unique(keys, return_inverse=True)
         sums = np.bincount(at, counts, len(distinct)).astype(np.int64)
         return pa.table(
@@ -183,11 +197,15 @@ def neighbours(keys: np.ndarray, units: np.ndarray, places: np.ndarray, lengths:
 
     ``each`` tells how many neighbours a word has; ``side`` is the unit before it, or ``size`` and the unit after it; ``n`` are their counts. The last of ``size`` units is the border.
     """
+    order = np.argsort(_bucket(keys, buckets), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    keys, units, places = keys[order], units[order], rank[places]
     path, at = _bordered(units[places], lengths, size - 1), _token_places(lengths)
     bigrams, counts = np.unique(path[:-1] * size + path[1:], return_counts=True)
-    rows = [(None, bigrams.tobytes(), None, None, counts.astype(np.int64).tobytes())]
+    rows = [(None, _squeeze(bigrams), None, None, _squeeze(counts.astype(np.int64)))]
     rare = units[places] >= frequent
-    at, word = at[rare], places[rare].astype(np.int64) * (2 * size)
+    at, word = at[rare], places[rare] * (2 * size)
     pairs, counts = np.unique(np.concatenate((word + path[at - 1], word + size + path[at + 1])), return_counts=True)
     word, side, counts = pairs // (2 * size), (pairs % (2 * size)).astype(_small(2 * size)), counts.astype(np.uint32)
     runs = group_offsets(word)
@@ -196,7 +214,7 @@ def neighbours(keys: np.ndarray, units: np.ndarray, places: np.ndarray, lengths:
     ends = group_offsets(bucket)
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         c, d = runs[a], runs[b]
-        rows.append((int(bucket[a]), words[a:b].tobytes(), each[a:b].tobytes(), side[c:d].tobytes(), counts[c:d].tobytes()))
+        rows.append((int(bucket[a]), words[a:b].tobytes(), _squeeze(each[a:b]), _squeeze(side[c:d]), _squeeze(counts[c:d])))
     types = (pa.int32(), *[pa.binary()] * 4)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["b", "words", "each", "side", "n"])
 
@@ -210,7 +228,7 @@ def seed_neighbours(chunks: DataFrame, frequent: np.ndarray, buckets: int) -> Da
             for lengths, places, keys in zip(*(batch.column(i) for i in range(3)), strict=True):
                 keys = np.frombuffer(keys.as_py(), np.uint64)
                 yield neighbours(
-                    keys, units_of(keys, frequent), np.frombuffer(places.as_py(), np.uint32), np.frombuffer(lengths.as_py(), np.int64), size, len(frequent), buckets
+                    keys, units_of(keys, frequent), _open(places.as_py(), np.uint32), np.frombuffer(lengths.as_py(), np.int64), size, len(frequent), buckets
                 )
 
     return stage(chunks.select("lengths", "places", "keys").mapInArrow(find, _NEIGHBOURS), "lm-neighbours")
@@ -222,7 +240,7 @@ def unit_bigrams(found: DataFrame, size: int) -> np.ndarray:
     def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pairs, counts in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(pairs.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.int64))], ["pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_open(pairs.as_py(), np.int64)), pa.array(_open(counts.as_py(), np.int64))], ["pair", "n"])
 
     rows = found.filter(F.col("b").isNull()).select("words", "n").mapInArrow(open_rows, "pair long, n long")
     sums = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # size**2 rows at most
@@ -380,10 +398,10 @@ def place_words(found: DataFrame, vocabulary: DataFrame, fold: np.ndarray, joint
         slot[movable] = np.arange(len(movable))
         cells, sums = [], []
         for words, each, side, n in zip(*(seen.column(c) for c in ("words", "each", "side", "n")), strict=True):
-            own = np.repeat(slot[np.searchsorted(keys, np.frombuffer(words.as_py(), np.uint64))], np.frombuffer(each.as_py(), np.uint32))
+            own = np.repeat(slot[np.searchsorted(keys, np.frombuffer(words.as_py(), np.uint64))], _open(each.as_py(), np.uint32))
             there = own >= 0
-            cells.append(own[there] * (2 * size) + sides[np.frombuffer(side.as_py(), kind)[there]])
-            sums.append(np.frombuffer(n.as_py(), np.uint32)[there])
+            cells.append(own[there] * (2 * size) + sides[_open(side.as_py(), kind)[there]])
+            sums.append(_open(n.as_py(), np.uint32)[there])
         if len(movable) and cells:
             cells, sums = np.concatenate(cells), np.concatenate(sums)
             order = np.argsort(cells, kind="stable")
@@ -416,6 +434,8 @@ def look_up(chunks: DataFrame, table: DataFrame, state: dict, buckets: int, sett
             for chunk, keys in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys = np.frombuffer(keys.as_py(), np.uint64)
                 at = _bucket(keys, buckets)
+                order = np.argsort(at, kind="stable")
+                keys, at = keys[order], at[order]
                 runs = group_offsets(at)
                 cut = list(zip(runs[:-1], runs[1:], strict=True))
                 if cut:
@@ -437,14 +457,20 @@ def look_up(chunks: DataFrame, table: DataFrame, state: dict, buckets: int, sett
                 at[at == len(words)] = 0
                 hit = words[at] == word
                 cls, n = np.where(hit, of_words[at], cls), np.where(hit, counts[at], 0)
-            out.append((chunk, int(key[0].as_py()), cls.astype(kind).tobytes(), n.tobytes() if with_counts else None))
+            out.append((chunk, int(key[0].as_py()), _squeeze(cls.astype(kind)), _squeeze(n) if with_counts else None))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     def finish(head: pa.Table, answers: pa.Table) -> pa.Table:
         rows = sorted(zip(*(answers.column(c).to_pylist() for c in names[1:]), strict=True)) if answers.num_rows else []
-        classes = np.frombuffer(b"".join(r[1] for r in rows), kind).astype(np.int64)
-        counts = np.frombuffer(b"".join(r[2] for r in rows), np.int64) if with_counts else None
-        return settle({c: head.column(c)[0].as_py() for c in ("ids", "lengths", "places", "keys")}, classes, counts)
+        own = {c: np.frombuffer(head.column(c)[0].as_py(), t) for c, t in (("ids", np.int64), ("lengths", np.int64), ("keys", np.uint64))}
+        own["places"] = _open(head.column("places")[0].as_py(), np.uint32)
+        order = np.argsort(_bucket(own["keys"], buckets), kind="stable")
+        classes, counts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        if len(order):
+            classes[order] = np.concatenate([_open(r[1], kind) for r in rows])
+            if with_counts:
+                counts[order] = np.concatenate([_open(r[2], np.int64) for r in rows])
+        return settle(own, classes, counts)
 
     asked = chunks.select("chunk", "keys").mapInArrow(ask, "chunk long, bucket int, words binary")
     known = table.select(F.col("bucket").alias("k"), "keys", "counts", "classes")
@@ -459,10 +485,9 @@ def class_neighbours(chunks: DataFrame, table: DataFrame, state: dict, buckets:
     size = len(frequent) + state["classes"]
 
     def settle(head: dict, classes: np.ndarray, _) -> pa.Table:
-        keys = np.frombuffer(head["keys"], np.uint64)
-        units = units_of(keys, frequent)
+        units = units_of(head["keys"], frequent)
         units = np.where(units < len(frequent), units, len(frequent) + classes)
-        found = neighbours(keys, units, np.frombuffer(head["places"], np.uint32), np.frombuffer(head["lengths"], np.int64), size, len(frequent), buckets)
+        found = neighbours(head["keys"], units, head["places"], head["lengths"], size, len(frequent), buckets)
         return pa.Table.from_batches([found])
 
     return stage(look_up(chunks, table, state, buckets, settle, _NEIGHBOURS, False), "lm-neighbours")
@@ -494,11 +519,12 @@ def class_sums(table: DataFrame, state: dict) -> tuple[np.ndarray, np.ndarray]:
 def class_model(train: DataFrame | None, buckets: int, frequent_limit: int, classes: int, rounds: int = ROUNDS, chunks: DataFrame | None = None) -> dict:
     """Everything scoring needs but the words' counts and classes, which stay in the table ``vocabulary``; learned from the texts of ``train``, or from packed ``chunks``."""
     if chunks is None:
-        chunks = pack_texts(train.select(F.lit(0).cast("long").alias("doc"), "text", F.lit(False).alias("held")), buckets)
+        chunks = pack_texts(train.select(F.lit(0).cast("long").alias("doc"), "text", F.lit(False).alias("held")))
     spark = chunks.sparkSession
     with small_batches(spark, 4):  # rows are chunks
         vocabulary = count_words(chunks, buckets)
-        frequent, frequent_n = frequent_words(vocabulary, frequent_limit)
+        frequent, _ = frequent_words(vocabulary, frequent_limit)
+        drop_shuffles(spark)
         found = seed_neighbours(chunks, frequent, buckets)
     bigrams = unit_bigrams(found, len(frequent) + (1 << ENDING_BITS) + 1)
     fold = exchange_classes(bigrams, classes)
@@ -508,6 +534,8 @@ def class_model(train: DataFrame | None, buckets: int, frequent_limit: int, clas
     table, files = vocabulary.withColumn("classes", F.lit(None).cast("binary")), vocabulary
     for i in range(rounds):
         placed = place_words(found, table, fold, joint, state)
+        give_back(found)
+        found = None
         with small_batches(spark, 32):
             after = class_neighbours(chunks, placed, state, buckets)
         bigrams = unit_bigrams(after, len(frequent) + classes)
@@ -517,13 +545,14 @@ def class_model(train: DataFrame | None, buckets: int, frequent_limit: int, clas
         if rose <= 0:
             give_back(placed, after)
             break
-        give_back(found, files)
+        give_back(files)
         table = files = placed
         found = after
         fold = exchange_classes(bigrams, classes, start=start, movable=len(frequent))
         state = state | {"of": fold[: len(frequent)]}
         joint = folded(bigrams, fold, classes)
-    give_back(found)
+    if found is not None:
+        give_back(found)
     class_v, class_n = class_sums(table, state)
     n_all, v_all = float(class_n.sum() + ends), float(class_v.sum() + (ends > 0))
     class_v[-1], class_n[-1] = 1, ends
@@ -549,14 +578,14 @@ def score_documents(
     """
     buckets = word_buckets(docs)
     held_out = crc_fold(F.col("doc"), fold) == 0
-    chunks = pack_texts(docs.select(F.col(key).cast("long").alias("doc"), "text").withColumn("held", held_out), buckets)
+    chunks = pack_texts(docs.select(F.col(key).cast("long").alias("doc"), "text").withColumn("held", held_out))
     model = class_model(None, buckets, frequent_limit, classes, chunks=chunks.filter(~F.col("held")))
     table = model.pop("vocabulary")
     state = {name: model[name] for name in ("frequent", "of", "endings", "classes")}
     local = {name: model[name] for name in ("step", "class_base", "end_log", "ends", "base")}
 
     def settle(head: dict, of_words: np.ndarray, counts: np.ndarray) -> pa.Table:
-        ids, lengths, places = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["lengths"], np.int64), np.frombuffer(head["places"], np.uint32)
+        ids, lengths, places = head["ids"], head["lengths"], head["places"]
         path = _bordered(of_words[places], lengths, classes - 1)
         logs = _bordered(np.log10(counts + SMOOTH)[places], lengths, local["end_log"])[1:]
         known = _bordered((counts > 0).astype(np.int64)[places], lengths, int(local["ends"] > 0))[1:]

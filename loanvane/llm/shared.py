@@ -56,17 +56,19 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 
 
 def give_back(*frames: DataFrame, shuffles: bool = True) -> None:
-    """Delete the folders of staged tables that nothing reads any more, and let Spark drop the ``shuffles`` of finished jobs.
-
-    Shuffle files go when the driver's collector finds their jobs unreachable, which may be long after their last use.
-    """
+    """Delete the folders of staged tables that nothing reads any more, and let Spark drop the ``shuffles`` of finished jobs."""
     for df in frames:
         path = getattr(df, "staged_at", None)
         if path:
             target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
     if frames and shuffles:
-        frames[0].sparkSession._jvm.System.gc()
+        drop_shuffles(frames[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's collector finds their jobs unreachable, which may be long after their last use: collect now."""
+    spark._jvm.System.gc()
 
 
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
