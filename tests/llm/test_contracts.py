@@ -568,3 +568,36 @@ def test_class_scores_equal_a_plain_recomputation(docs, rows):
         for a, b, c in zip(path[:-1], path[1:], token_counts, strict=True):
             want += math.log10((joint[a, b] + 0.1) / (joint[a].sum() + 0.6)) + math.log10((c + 0.1) / (n[b] + 0.1 * (v[b] + 1)))
         assert out[i]["score"] == pytest.approx(want, rel=1e-9)
+
+
+def test_machine_learns_pairs_of_words_that_tell_nothing_alone(spark):
+    """Exactly one of two words makes a text toxic: each alone has the share of all texts, only the pair tells."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(1200):
+        a, b = i % 2, i // 2 % 2
+        words = [f"w{rng.randrange(30)}" for _ in range(6)] + ["grolt"] * a + ["mib"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, a ^ b))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = [r for r in factorization.toxicity(docs, known).collect() if r["held_out"]]
+    right = sum(r["predicted"] == labels[r["doc_id"]][1] for r in out)
+    assert len(out) > 300 and right >= 0.98 * len(out)
+
+
+def test_pair_search_equals_plain_counting(spark):
+    rng = random.Random(2)
+    words = [np.array([rng.randrange(12) for _ in range(rng.randrange(0, 30))], np.int32) for _ in range(300)]
+    rows = [(int(3 in w and 5 in w), bytearray(w.tobytes())) for w in words]
+    got = factorization.select_pairs(spark.createDataFrame(rows, "y int, words binary"), np.array([7]), min_chi2=20.0)
+    distinct = {(y, bytes(w)) for y, w in rows if len(w) > 4}
+    n, pos, count = len(distinct), sum(y for y, _ in distinct), collections.defaultdict(lambda: [0, 0])
+    for y, body in distinct:
+        w = np.frombuffer(body, np.int32).tolist()
+        for pair in {tuple(sorted((w[i], w[j]))) for i in range(len(w)) for j in range(i + 1, min(i + 9, len(w))) if w[i] != w[j] and 7 not in (w[i], w[j])}:
+            count[pair][0] += 1
+            count[pair][1] += y
+    chi2 = {p: n * (h * n - d * pos) ** 2 / (d * (n - d) * pos * (n - pos)) for p, (d, h) in count.items() if 3 <= d < n}
+    want = {t for p, x in chi2.items() if x >= 20.0 for t in p}
+    assert want and set(got.tolist()) == want
