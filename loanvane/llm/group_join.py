@@ -39,6 +39,9 @@ BLOCK_SETS, BLOCK_TOKENS = 256, 1_000_000
 GROUP_TOKENS = 65_536
 MERGE_ROUNDS = 3
 BROADCAST_ROWS = 2_000_000
+# Leading bytes of a class digest that name the class in the exchange of step 2. Classes of equal tags only let more sets pass,
+# unless they share tokens with nothing but each other: two given partners do so in one of 2**64 cases, as token hashes do.
+TAG_BYTES = 8
 # Numbers of sets without an id of their own go down from here, far below any id.
 NO_ID = -(1 << 62)
 
@@ -62,6 +65,10 @@ def _class_key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _class_tag(tokens: np.ndarray) -> bytes:
+    return _class_key(tokens)[:TAG_BYTES]
+
+
 # ---------------------------------------------------------------- step 1: classes
 
 
@@ -82,6 +89,16 @@ def set_classes(docs: DataFrame, key: str, width: int) -> DataFrame:
 # ---------------------------------------------------------------- packed exchange of tokens
 
 
+def byte_runs(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same runs with lengths that fit a byte; a longer run goes on under its value again."""
+    if not len(lengths) or lengths.max() <= 255:
+        return values, lengths.astype(np.uint8)
+    parts = -(-lengths // 255)
+    out = np.full(parts.sum(), 255, np.uint8)
+    out[np.cumsum(parts) - 1] = lengths - 255 * (parts - 1)
+    return np.repeat(values, parts), out
+
+
 class _Packer:
     """Gathers sets and yields, per bucket, the owners, their token counts and the tokens as packed arrays."""
 
@@ -116,7 +133,8 @@ class _Packer:
         rows = []
         for a, b in zip(at[:-1], at[1:], strict=True):
             runs = group_offsets(owner[a:b])
-            rows.append((int(bucket[a]), names[owner[a:b][runs[:-1]]].tobytes(), np.diff(runs).astype(np.uint32).tobytes(), tokens[a:b].tobytes()))
+            whose, counts = byte_runs(owner[a:b][runs[:-1]], np.diff(runs))
+            rows.append((int(bucket[a]), names[whose].tobytes(), counts.tobytes(), tokens[a:b].tobytes()))
         self.clear()
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], list(self.names)
@@ -126,7 +144,8 @@ class _Packer:
 def _unpack(table: pa.Table, width: int, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owners (distinct), and per occurrence its owner's number and token."""
     join = lambda name: b"".join(table.column(name).to_pylist())
-    owners, counts, tokens = np.frombuffer(join("owners"), f"V{width}"), np.frombuffer(join("counts"), np.uint32), np.frombuffer(join("tokens"), kind)
+    form = np.uint64 if width == 8 else f"V{width}"
+    owners, counts, tokens = np.frombuffer(join("owners"), form), np.frombuffer(join("counts"), np.uint8), np.frombuffer(join("tokens"), kind)
     distinct, number = np.unique(owners, return_inverse=True)
     return distinct, np.repeat(number, counts), tokens
 
@@ -135,7 +154,11 @@ def _unpack(table: pa.Table, width: int, kind) -> tuple[np.ndarray, np.ndarray,
 
 
 def shared_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFrame:
-    """``(cls, shared)``: how many tokens of a class occur in another class, by 32 bits and the bucket (so rather too many)."""
+    """``(tag, shared)``: how many tokens of a class occur in another class, by 32 bits and the bucket (so rather too many).
+
+    A document leaves few tokens in each of many buckets, so what names its class there weighs more than the tokens: a tag
+    of eight bytes and a count of one.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(buckets, wide=False)
@@ -143,12 +166,12 @@ def shared_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFr
             for text in batch.column(0):
                 tokens = shingle_set(text.as_py(), width)
                 if len(tokens):
-                    yield from packer.add(_class_key(tokens), tokens)
+                    yield from packer.add(_class_tag(tokens), tokens)
         yield from packer.flush()
         release_memory()
 
     def count(table: pa.Table) -> pa.Table:
-        classes, owner, token = _unpack(table, 16, np.uint32)
+        classes, owner, token = _unpack(table, TAG_BYTES, np.uint32)
         pairs = np.unique(token.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))
         at = group_offsets(pairs >> np.uint64(32))
         sizes = np.diff(at)
@@ -159,7 +182,7 @@ def shared_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFr
         if not len(some):
             return pa.table([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary())], ["bucket", "owners", "counts"])
         names, n = classes[some], n[some].astype(np.uint32)
-        to = (np.frombuffer(names.tobytes(), np.uint32).reshape(-1, 4)[:, 0] % np.uint32(buckets)).astype(np.int64)
+        to = (names % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         names, n, to = names[order], n[order], to[order]
         at = group_offsets(to)
@@ -170,22 +193,22 @@ def shared_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFr
         )
 
     def add(table: pa.Table) -> pa.Table:
-        owners = np.frombuffer(b"".join(table.column("owners").to_pylist()), "V16")
+        owners = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.uint64)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
         classes, number = np.unique(owners, return_inverse=True)
         total = np.bincount(number, counts, len(classes)).astype(np.int64)
-        return pa.table({"cls": pa.array([c.tobytes() for c in classes], pa.binary()), "shared": pa.array(total)})
+        return pa.table({"tag": pa.array([c.tobytes() for c in classes], pa.binary()), "shared": pa.array(total)})
 
     packed = docs.select("text").mapInArrow(pack, _Packer.schema)
     partial = packed.groupBy("bucket").applyInArrow(count, "bucket int, owners binary, counts binary")
-    return partial.groupBy("bucket").applyInArrow(add, "cls binary, shared long")
+    return partial.groupBy("bucket").applyInArrow(add, "tag binary, shared long")
 
 
 def sets_with_partner(docs: DataFrame, key: str, width: int, classes: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """``(rep, n, tokens)`` of the sets that can have a link to another set, and the number ``rep`` of each by ``rep_cls``."""
     counts = stage(shared_counts(docs, key, width, buckets), "join-shared")
     reps = classes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("at"), F.max("n").alias("n"))
-    able = counts.join(reps, "cls").filter(100 * F.col("shared") >= NUMERATOR * F.col("n"))
+    able = counts.join(reps.withColumn("tag", F.substring("cls", 1, TAG_BYTES)), "tag").filter(100 * F.col("shared") >= NUMERATOR * F.col("n"))
     able = stage(able.select("at", F.col("cls").alias("rep_cls")), "join-able")
     # a set goes by the smallest id that carries it; where an id carries several, the others get negative numbers
     first = able.groupBy("at").agg(F.min("rep_cls").alias("first_cls"))

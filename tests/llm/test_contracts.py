@@ -330,6 +330,26 @@ def test_group_join_equals_brute_force(docs, rows, tight, monkeypatch):
         assert (r["n_shingles"], r["component_id"]) == (len(sets[i]), want[i])
 
 
+def test_runs_longer_than_a_byte_go_on():
+    values, lengths = np.array([4, 9, 2, 7]), np.array([1, 255, 256, 1000])
+    names, counts = group_join.byte_runs(values, lengths)
+    assert counts.dtype == np.uint8 and counts.min() > 0
+    assert np.repeat(names, counts).tolist() == np.repeat(values, lengths).tolist()
+
+
+def test_shared_counts_are_never_too_small(docs, rows):
+    found_counts = {bytes(r["tag"]): r["shared"] for r in group_join.shared_counts(docs, "doc_id", 5, 3).collect()}
+    assert all(len(t) == group_join.TAG_BYTES for t in found_counts)
+    sets = [group_join.shingle_set(r[1]) for r in rows]
+    classes = collections.defaultdict(set)
+    for tokens in sets:
+        for token in tokens.tolist():
+            classes[token].add(group_join._class_key(tokens))
+    for tokens in sets:
+        truth = sum(len(classes[t]) > 1 for t in tokens.tolist())
+        assert found_counts.get(group_join._class_tag(tokens), 0) >= truth
+
+
 def test_group_join_at_the_limit(spark):
     """Overlap of exactly three quarters links; one token less does not."""
     w = [f"t{i}" for i in range(200)]
