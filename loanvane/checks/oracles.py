@@ -265,6 +265,16 @@ WHERE issue_year IN ('1996', '1997', '1998', '1999') GROUP BY issue_year, applic
         cohort_cte(),
         """SELECT 'loans' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(25 AS BIGINT) AS n_cols FROM loans
 UNION ALL SELECT 'labelled', count(*), 28 FROM labelled UNION ALL SELECT 'cohort', count(*), 30 FROM cohort""",
+    ),
+    "csv_scan": query(
+        LOANS,
+        f"""SELECT {big('id', 'id')}, issue_d, loan_status, trim(term) AS term, emp_length, {six('loan_amnt', 'loan_amnt')}, {six('int_rate', 'int_rate')},
+  'Said "' || loan_status || '",' || chr(10) || grade || ', "twice"' || chr(10) || chr(10) || 'end' AS note FROM loans""",
+    ),
+    "csv_scan_counts": query(
+        LOANS,
+        f"""SELECT {big('count(*) + count(*) FILTER (WHERE id % 50 = 7)', 'n_read')}, {big('count(*) FILTER (WHERE id % 50 = 7)', 'n_bad')},
+  {big('count(*) FILTER (WHERE id % 50 = 7)', 'n_apart')} FROM loans""",
     ),
     "rate_by_grade_term": query(
         COHORT,
@@ -383,7 +393,7 @@ UNION ALL SELECT '{c}', 'Unknown', count(DISTINCT {c}) FROM split WHERE is_train
         SPLIT,
         "SELECT CAST(id AS BIGINT) AS id, "
         + ", ".join(
-            f"round(floor(CAST(coalesce({c}, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM split WHERE is_train)) AS DOUBLE) * 1000 + 0.4321::DOUBLE) / 1000, 6) AS {c}"
+            f"round(floor(CAST(coalesce({c}, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM split WHERE is_train)) AS DOUBLE) * 1000000 + 0.4321::DOUBLE) / 1000000, 6) AS {c}"
             for c in VIEW_NUMERIC
         )
         + ", "

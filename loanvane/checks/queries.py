@@ -22,7 +22,8 @@ from loanvane.operators import cohort as cohort_ops
 from loanvane.operators import describe, effects, oob, prep, profile, sampling, scores
 from loanvane.operators.order_stats import exact_quantiles, scalar_quantile
 from loanvane.plans import loan_study
-from loanvane.sources import reports
+from loanvane.runtime import shared_folder
+from loanvane.sources import loan_csv, reports
 from loanvane.sources.loan_view import (
     FOLD_KEY,
     SAMPLE_KEY,
@@ -192,6 +193,35 @@ def shape_log(spark, sf):
     return reports.shape_log({"loans": loans, "labelled": labelled, "cohort": cohort})
 
 
+def scanned_of(spark: SparkSession, sf: str) -> loan_csv.ScanParts:
+    """The loan view written as CSV and read back: texts with quotes, commas and line breaks, ``NA`` for missing values.
+
+    Every fiftieth loan is written a second time with an amount that is no number.
+    """
+    note = F.concat(F.lit('Said "'), "loan_status", F.lit('",\n'), "grade", F.lit(', "twice"\n\nend'))
+    columns = ["id", "issue_d", "loan_status", "term", "emp_length", "loan_amnt", "int_rate"]
+    rows = loans_of(spark, sf).select(*columns, note.alias("note"))
+    twice = F.when(F.col("id") % 50 == 7, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("broken", F.explode(twice))
+    amount = F.when(F.col("broken"), F.concat(F.lit("about "), F.col("loan_amnt").cast("string"))).otherwise(F.col("loan_amnt").cast("string"))
+    folder = shared_folder(spark, "loan-csv")
+    layout = {"header": True, "escape": '"', "nullValue": "NA", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.withColumn("loan_amnt", amount).drop("broken").write.options(**layout).csv(folder)
+    return loan_csv.part_scan(loan_csv.scan_loans(spark, folder))
+
+
+def csv_scan(spark, sf):
+    """Loans that come back whole from CSV files."""
+    return rounded(scanned_of(spark, sf).good.withColumn("id", F.col("id").cast("long")))
+
+
+def csv_scan_counts(spark, sf):
+    """Records read, and those kept apart as broken: as counted while they passed, and as found in their table."""
+    parts = scanned_of(spark, sf)
+    kept_apart = parts.bad.filter(F.col(loan_csv.BAD_RECORD).contains(",about "))
+    return kept_apart.agg(F.count(F.lit(1)).alias("n_apart")).select(F.lit(parts.n_read).cast("long").alias("n_read"), F.lit(parts.n_bad).cast("long").alias("n_bad"), "n_apart")
+
+
 def rate_by_grade_term(spark, sf):
     return rounded(describe.rate_by_grade_term(cohort_of(spark, sf)))
 
@@ -333,8 +363,8 @@ def impute_apply(spark, sf):
     split = split_of(spark, sf)
     imputer = prep.Imputer.fit(split.filter("is_train"), VIEW_NUMERIC, VIEW_CATEGORICAL)
     filled = imputer.transform(split).select("id", *VIEW_NUMERIC, *VIEW_CATEGORICAL)
-    # three digits, cut where no value of the book lies, so that engines cannot round a tie apart
-    return rounded(filled.withColumns({c: F.floor(F.col(c) * 1000 + 0.4321) / 1000 for c in VIEW_NUMERIC}))
+    # six digits, cut where no value of the book lies, so that engines cannot round a tie apart
+    return rounded(filled.withColumns({c: F.floor(F.col(c) * 1_000_000 + 0.4321) / 1_000_000 for c in VIEW_NUMERIC}))
 
 
 def unseen_levels(spark, sf):
@@ -589,7 +619,7 @@ def dml_enet(spark, sf):
 
 ORDER = [
     vintage_summary, mean_vintage_rate, volume_line, app_type_counts, status_top20, loan_labels, cohort_rows,
-    cohort_prefix_option, year_default_pivot, group_share, outcome_share, shape_log, rate_by_grade_term, rate_by_int_bin,
+    cohort_prefix_option, year_default_pivot, group_share, outcome_share, shape_log, csv_scan, csv_scan_counts, rate_by_grade_term, rate_by_int_bin,
     max_bin_rate, risk_surface, report_texts, fico_bins, lump_purpose, var_flags, flag_crosstab, model_base_columns,
     missing_profile, sd_profile, dominant_share, final_predictors, audit_trail, audit_report, quantile75, strat_sample,
     train_test_split, train_semi_join, split_balance, kfold_assign, train_medians, train_levels, impute_apply,

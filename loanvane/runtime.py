@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +39,23 @@ def tuned_session(app_name: str = "loanvane", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """Path of a new folder under ``spark.checkpoint.dir``, deleted when the application ends.
+
+    Only a local session may leave the setting out; it then gets a folder of its own.
+    """
+    conf = spark.sparkContext.getConf()
+    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="loan-stage-")
+    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def small_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS, max_bytes: int = SMALL_TABLE_BYTES) -> DataFrame:
     """Evaluate ``df`` once; a result within both bounds is handed back as local data.
 

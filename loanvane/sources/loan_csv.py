@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanvane.functions.names import EXTRA_LEAKAGE, NUMERIC_SHORTLIST
+from loanvane.runtime import shared_folder, small_table
 
+BAD_RECORD = "bad_record"
 
 RECORDS_PER_FILE = 5_000_000
 
@@ -38,6 +41,84 @@ def read_loans(
     return raw.withColumns({n: F.nullif(c, F.lit("NA")) for n, c in cleaned.items()}) if texts else raw
 
 
+def split_records(lines: DataFrame) -> DataFrame:
+    """``(record)``: CSV records of text lines, without each file's first one, its header.
+
+    ``lines`` has ``value``, its ``file``, ``block`` (the byte where its part of the file begins) and ``at``, which rises within
+    a block. Quotes inside a record are even in number, so a line starts a record where those before it in the file are. Blocks
+    count their quotes alone; sums over blocks, a row each, tell what every block starts with, and no task reads a whole file.
+    A quote that is never closed makes one record of all lines up to the next single quote.
+    """
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.withColumn("odd", (quotes % 2).cast("long"))
+    lines = lines.withColumn("flips", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    blocks = lines.groupBy("file", "block").agg(
+        F.sum("odd").alias("odds"), F.count_if(F.col("flips") == 0).alias("starts_0"), F.count_if(F.col("flips") == 1).alias("starts_1")
+    )
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = (F.coalesce(F.sum("odds").over(earlier), F.lit(0)) % 2).alias("opened")
+    blocks = blocks.select("file", "block", "starts_0", "starts_1", opened)
+    starts = F.when(F.col("opened") == 0, F.col("starts_0")).otherwise(F.col("starts_1"))
+    last = F.last(F.when(starts > 0, F.struct(F.col("block").alias("of"), starts.alias("no"))), ignorenulls=True).over(earlier)
+    blocks = small_table(blocks.select("file", "block", "opened", last.alias("last")))
+    started = ((F.col("flips") + F.col("opened")) % 2 == 0).cast("long")
+    numbered = lines.join(blocks, ["file", "block"]).withColumn("no", F.sum(started).over(inside))
+    # a line before the first start of its block goes on with the last record of an earlier one
+    own = F.when(F.col("no") > 0, F.struct(F.col("block").alias("of"), "no")).otherwise(F.col("last"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    whole = numbered.groupBy("file", own.alias("own")).agg(F.concat_ws("\n", F.transform(parts, lambda p: p["value"])).alias("record"))
+    return whole.filter("not (own.of = 0 and own.no = 1) and trim(record) <> ''").select("record")
+
+
+def scan_loans(spark: SparkSession, path: str, types: Mapping[str, T.DataType] | None = None) -> DataFrame:
+    """Loan CSV files with ``bad_record``: the text of a record whose fields do not fit the header or a declared type, else NULL.
+
+    Values are read as by ``read_loans``; a bad record keeps what could be read of it. Quoted line breaks may stand
+    anywhere, and files still split into tasks of ``spark.sql.files.maxPartitionBytes``. All files share one header.
+    """
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    header = spark.read.options(**options, header=True).csv(path).columns
+    types = types or {}
+    schema = T.StructType([T.StructField(n, types.get(n, declared_type(n))) for n in header])
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("at"))
+    checks = {"mode": "PERMISSIVE", "nullValue": "NA", "columnNameOfCorruptRecord": BAD_RECORD}
+    row = F.from_csv("record", schema.add(BAD_RECORD, "string").toDDL(), {**options, **checks})
+    rows = split_records(lines).select(row.alias("row")).select("row.*")
+
+    def shown(field: T.StructField) -> Column:
+        value = F.col(f"`{field.name}`")
+        text = isinstance(field.dataType, T.StringType) and field.name != BAD_RECORD
+        return F.nullif(F.nullif(F.trim(value), F.lit("")), F.lit("NA")).alias(field.name) if text else value
+
+    return rows.select(*[shown(f) for f in schema])
+
+
+@dataclass(frozen=True)
+class ScanParts:
+    """Rows that were read whole, the texts of the others (``bad_record``), and how many records there were of both and of the others."""
+
+    good: DataFrame
+    bad: DataFrame
+    n_read: int
+    n_bad: int
+
+
+def part_scan(scan: DataFrame, folder: str | None = None) -> ScanParts:
+    """Good and bad rows of ``scan_loans``, parted by one job that writes them and counts them as they pass."""
+    spark = scan.sparkSession
+    folder = folder or shared_folder(spark, "loan-scan")
+    seen = Observation("loan scan")
+    flagged = scan.withColumn("is_bad", F.col(BAD_RECORD).isNotNull())
+    counted = flagged.observe(seen, F.count(F.lit(1)).alias("n_read"), F.count_if("is_bad").alias("n_bad"))
+    counted.write.partitionBy("is_bad").parquet(folder)
+    parted = spark.read.schema(flagged.schema).parquet(folder)
+    columns = [f"`{c}`" for c in scan.columns if c != BAD_RECORD]
+    return ScanParts(parted.filter("not is_bad").select(*columns), parted.filter("is_bad").select(BAD_RECORD), seen.get["n_read"], seen.get["n_bad"])
+
+
 def write_loan_table(loans: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet table for repeat runs, partitioned by issue year when the column is there."""
     if "issue_year" in loans.columns:

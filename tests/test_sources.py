@@ -34,6 +34,44 @@ def test_csv_scan(spark, loan_file):
     assert rows["3"]["issue_d"] is None and rows["3"]["desc"] is None and rows["3"]["odd"] is None
 
 
+RECORDS = [
+    '1, Dec-2015 ,1000,7.5,"first line\nsecond ""quoted"" line\n\n",Fully Paid,x',
+    '2,Jan-2014,NA, 8.25 ,,Charged Off,NA',
+    '3,,500,,"",Current,"NA"',
+    '4,May-2015,about 7,1,"two\nlines",Current,x',
+    '5,May-2015,7,1',
+    '6,May-2015,7,1,t,Current,x,more',
+]
+
+
+@pytest.mark.parametrize("block", [40, 64, 1 << 20])
+def test_scan_splits_records_and_parts_bad_ones(spark, tmp_path, block):
+    head = "id,issue_d,loan_amnt,int_rate,desc,loan_status,odd\n"
+    many = [r.replace(r[0], str(10 * k + int(r[0])), 1) for k in range(1, 20) for r in RECORDS]
+    (tmp_path / "a.csv").write_text(head + "\n".join(RECORDS) + "\n\n")
+    (tmp_path / "b.csv").write_text(head + "\n".join(many))
+    (tmp_path / "c.csv").write_text(head)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        parts = loan_csv.part_scan(loan_csv.scan_loans(spark, str(tmp_path / "*.csv")), str(tmp_path / f"out{block}"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = {int(r["id"]): r for r in parts.good.collect()}
+    assert sorted(rows) == sorted(10 * k + i for k in range(20) for i in (1, 2, 3))
+    assert rows[51]["desc"] == 'first line\nsecond "quoted" line\n\n' and rows[1]["issue_d"] == "Dec-2015"
+    assert rows[2]["loan_amnt"] is None and rows[2]["int_rate"] == 8.25 and rows[2]["odd"] is None
+    assert rows[3]["desc"] is None and rows[3]["odd"] is None
+    assert (parts.n_read, parts.n_bad, parts.bad.count()) == (120, 60, 60)
+    assert set(RECORDS[3:]) < {r[loan_csv.BAD_RECORD] for r in parts.bad.collect()}
+
+
+def test_scan_of_nothing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,loan_amnt\n")
+    parts = loan_csv.part_scan(loan_csv.scan_loans(spark, str(tmp_path / "a.csv")), str(tmp_path / "out"))
+    assert (parts.n_read, parts.n_bad, parts.good.count(), parts.good.columns) == (0, 0, 0, ["id", "loan_amnt"])
+
+
 def test_loan_table_round_trip(spark, loan_file, tmp_path):
     labelled = label_loans(loan_csv.read_loans(spark, loan_file, multiline=True))
     loan_csv.write_loan_table(labelled, str(tmp_path / "table"))
