@@ -245,3 +245,13 @@ def test_levels_listed_or_joined(spark, monkeypatch):
         prep.Design.fit(prep.Imputer.fit(train, [], ["c"]), [], ["c"])
     many = spark.range(12_000).select(F.col("id").cast("string").alias("c"))
     assert prep.fit_levels(many, ["c"]).count() == 12_001
+
+
+def test_joins_of_the_loan_view_run_once_below_many_passes(spark):
+    """Cuts and quantiles read a table several times: what they read is cached."""
+    from loanvane.checks import queries
+
+    for stage in (queries.split_of, queries.scores_of, queries.effect_rows_of):
+        plan = stage(spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
+        assert "InMemoryRelation" in plan and "lineitem" not in plan.split("InMemoryRelation")[0]
+    spark.catalog.clearCache()
