@@ -15,6 +15,8 @@ from loanvane.runtime import shared_folder, small_table
 BAD_RECORD = "bad_record"
 
 RECORDS_PER_FILE = 5_000_000
+# Lines of a piece, as a power of two.
+PIECE_BITS = 14
 
 
 def declared_type(name: str) -> T.DataType:
@@ -45,31 +47,35 @@ def split_records(lines: DataFrame) -> DataFrame:
     """``(record)``: CSV records of text lines, without each file's first one, its header.
 
     ``lines`` has ``value``, its ``file``, ``block`` (the byte where its part of the file begins) and ``at``, which rises within
-    a block. Quotes inside a record are even in number, so a line starts a record where those before it in the file are. Blocks
-    count their quotes alone; sums over blocks, a row each, tell what every block starts with, and no task reads a whole file.
+    a block. Quotes inside a record are even in number, so a line starts a record where those before it in the file are. Pieces of
+    some thousand lines count their quotes without moving a line; sums over pieces, a row each, tell what every piece starts with.
+    Lines then move once, to their piece, which cuts them into records. Only the ends of pieces, a record or less each, move again.
     A quote that is never closed makes one record of all lines up to the next single quote.
     """
-    inside = Window.partitionBy("file", "block").orderBy("at")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    piece = ["file", "block", "piece"]
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = lines.withColumn("odd", (quotes % 2).cast("long"))
-    lines = lines.withColumn("flips", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
-    blocks = lines.groupBy("file", "block").agg(
-        F.sum("odd").alias("odds"), F.count_if(F.col("flips") == 0).alias("starts_0"), F.count_if(F.col("flips") == 1).alias("starts_1")
-    )
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    opened = (F.coalesce(F.sum("odds").over(earlier), F.lit(0)) % 2).alias("opened")
-    blocks = blocks.select("file", "block", "starts_0", "starts_1", opened)
-    starts = F.when(F.col("opened") == 0, F.col("starts_0")).otherwise(F.col("starts_1"))
-    last = F.last(F.when(starts > 0, F.struct(F.col("block").alias("of"), starts.alias("no"))), ignorenulls=True).over(earlier)
-    blocks = small_table(blocks.select("file", "block", "opened", last.alias("last")))
-    started = ((F.col("flips") + F.col("opened")) % 2 == 0).cast("long")
-    numbered = lines.join(blocks, ["file", "block"]).withColumn("no", F.sum(started).over(inside))
-    # a line before the first start of its block goes on with the last record of an earlier one
-    own = F.when(F.col("no") > 0, F.struct(F.col("block").alias("of"), "no")).otherwise(F.col("last"))
-    parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
-    whole = numbered.groupBy("file", own.alias("own")).agg(F.concat_ws("\n", F.transform(parts, lambda p: p["value"])).alias("record"))
-    return whole.filter("not (own.of = 0 and own.no = 1) and trim(record) <> ''").select("record")
+    lines = lines.withColumns({"odd": (quotes % 2).cast("long"), "piece": F.shiftright("at", PIECE_BITS)})
+    sums = lines.groupBy(*piece).agg(F.sum("odd").alias("odds"))
+    of_file = Window.partitionBy("file").orderBy("block", "piece")
+    opened = (F.coalesce(F.sum("odds").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2).alias("opened")
+    pieces = small_table(sums.select(*piece, opened, (F.row_number().over(of_file) == 1).alias("first")))
+    inside = Window.partitionBy(*piece).orderBy("at")
+    flips = F.coalesce(F.sum("odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(pieces, piece).withColumn("started", ((flips + F.col("opened")) % 2 == 0).cast("long"))
+    numbered = numbered.withColumn("no", F.sum("started").over(inside))
+    held = F.array_sort(F.collect_list(F.struct("at", "value")))
+    text = F.concat_ws("\n", F.transform(held, lambda p: p["value"])).alias("record")
+    cut = numbered.groupBy(*piece, "no").agg(text, F.bool_or(F.col("first") & (F.col("no") == 1)).alias("header"))
+    cut = cut.withColumn("last", F.max("no").over(Window.partitionBy(*piece)))
+    inner = (F.col("no") > 0) & (F.col("no") < F.col("last"))
+    # lines before the first start of a piece go on with the last record of an earlier one
+    ends = cut.filter(~inner).withColumn("started", (F.col("no") > 0).cast("long"))
+    ends = ends.withColumn("of", F.sum("started").over(Window.partitionBy("file").orderBy("block", "piece", "no")))
+    parts = F.array_sort(F.collect_list(F.struct("block", "piece", "no", "record")))
+    joined = F.concat_ws("\n", F.transform(parts, lambda p: p["record"])).alias("record")
+    ends = ends.groupBy("file", "of").agg(joined, F.bool_or("header").alias("header"))
+    whole = cut.filter(inner).select("record", "header").unionByName(ends.select("record", "header"))
+    return whole.filter("not header and trim(record) <> ''").select("record")
 
 
 def scan_loans(spark: SparkSession, path: str, types: Mapping[str, T.DataType] | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Loan files, staged tables and report output."""
 
+import re
+
 import pytest
 
 from loanvane.operators.cohort import label_loans
@@ -117,3 +119,23 @@ def test_modelling_table(spark):
     assert "id" not in split.numeric and "fico_bin" in split.categorical and "term_60" in split.numeric
     narrow = loan_study.split_and_impute(data.table, use_score_band=False)
     assert "fico_bin" not in narrow.categorical
+
+
+def test_records_reach_over_pieces_and_lines_move_once(spark, monkeypatch):
+    """Pieces of two lines, records of one to nine: ends are put together. No window holds a whole block of a file."""
+    from loanvane.sources import loan_csv
+
+    monkeypatch.setattr(loan_csv, "PIECE_BITS", 1)
+    rows, lines = [], ["id,note"]
+    for i in range(40):
+        text = "\n".join(f"part {k}" for k in range(1 + i * 5 % 9))
+        rows.append(f'{i},"{text}"')
+        lines += rows[-1].split("\n")
+    table = spark.createDataFrame([(v, "f", 0 if i < 60 else 1000, i) for i, v in enumerate(lines)], "value string, file string, block long, at long")
+    cut = loan_csv.split_records(table)
+    assert sorted(r["record"] for r in cut.collect()) == sorted(rows)
+    monkeypatch.setattr(loan_csv, "PIECE_BITS", 14)
+    cut = loan_csv.split_records(table.repartition(4))
+    assert sorted(r["record"] for r in cut.collect()) == sorted(rows)
+    assert "Window" in (plan := cut._jdf.queryExecution().optimizedPlan().toString())
+    assert not any(w.startswith("at#") for w in re.findall(r"windowspecdefinition\(file#\d+, block#\d+L?, (\w+#)", plan))
