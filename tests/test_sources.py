@@ -139,3 +139,16 @@ def test_records_reach_over_pieces_and_lines_move_once(spark, monkeypatch):
     assert sorted(r["record"] for r in cut.collect()) == sorted(rows)
     assert "Window" in (plan := cut._jdf.queryExecution().optimizedPlan().toString())
     assert not any(w.startswith("at#") for w in re.findall(r"windowspecdefinition\(file#\d+, block#\d+L?, (\w+#)", plan))
+
+
+def test_raw_loans_are_counted_for_the_audit_only(spark, monkeypatch):
+    """The modelling table takes one pass over the raw loans; stages are counted when the audit trail is asked for."""
+    count = loan_study.stage_counts
+    monkeypatch.setattr(loan_study, "stage_counts", None)
+    data = loan_study.build_modelling_data(loan_view(spark, SF), VIEW_YEARS)
+    assert data.rows == data.table.count() > 400
+    sample = loan_study.build_modelling_data(loan_view(spark, SF), VIEW_YEARS, target_rows=400)
+    assert sample.rows == sample.table.count()
+    monkeypatch.setattr(loan_study, "stage_counts", count)
+    audit = {r["step"]: r["n_rows"] for r in sample.audit.collect()}
+    assert audit[1] == loan_view(spark, SF).count() and audit[3] == data.rows and audit[7] == sample.rows
