@@ -1,5 +1,6 @@
 """Distributed ranks, quantiles and running totals against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanvane.functions.keys import RandomKey, poisson_weight
-from loanvane.operators import sampling, scores
+from loanvane.operators import order_stats, sampling, scores
 from loanvane.operators.order_stats import exact_quantiles, running_totals
 
 
@@ -169,3 +170,37 @@ def test_bootstrap_weights_are_poisson(spark):
     assert row["m"] == pytest.approx(1, abs=0.03)
     assert row["v"] == pytest.approx(1, abs=0.06)
     assert row["z"] == pytest.approx(0.3679, abs=0.015)
+
+
+@pytest.mark.parametrize("large_state", [False, True])
+def test_rounds_of_a_quantile_look_up_each_value_once(spark, monkeypatch, large_state):
+    """Two ranks in one interval share its counts, and values outside all intervals are left out before the join."""
+    looked_up, join = [], order_stats.null_safe_join
+
+    def recorded(left, right, keys, how="inner"):
+        if left.columns == ["variable", "value"]:
+            looked_up.append((left.count(), right.count()))
+        return join(left, right, keys, how)
+
+    monkeypatch.setattr(order_stats, "null_safe_join", recorded)
+    if large_state:
+        monkeypatch.setattr(order_stats, "small_table", lambda df: df.persist())
+    nan, inf = float("nan"), float("inf")
+    odd = [(None, nan), (nan, None), (inf, -inf), (-inf, inf), (-0.0, 0.0), (0.0, -0.0)]
+    pairs = [(float(i), float(i % 7 - 3)) for i in range(-4_000, 4_000)] + odd
+    df = spark.createDataFrame([(i, i % 3 or None, a, b) for i, (a, b) in enumerate(pairs)], "id long, g int, a double, b double")
+    for by in ([], ["g"]):
+        found = order_stats.exact_quantiles(df, ["a", "b"], [0.0, 0.5, 0.9, 1.0], by, narrow_above=50, cells=16).collect()
+        for g in {r["g"] if by else None for r in found}:
+            for v, k in (("a", 2), ("b", 3)):
+                rows = sorted(r[k] for r in df.collect() if (not by or r["g"] == g) and r[k] is not None and not math.isnan(r[k]))
+                got = {r["prob"]: r["value"] for r in found if r["variable"] == v and (not by or r["g"] == g)}
+                assert got[0.0] == rows[0] and got[1.0] == rows[-1] and (by or rows[-1] == -rows[0] == inf)
+                for p in (0.5, 0.9):
+                    spot = p * (len(rows) - 1)
+                    low = math.floor(spot)
+                    assert got[p] == pytest.approx(rows[low] + (spot - low) * (rows[math.ceil(spot)] - rows[low]), abs=1e-9)
+    looked_up.clear()
+    medians = order_stats.exact_quantiles(df.filter("abs(a) < 1e9").select("a"), ["a"], [0.5], narrow_above=50, cells=16).collect()
+    assert [r["value"] for r in medians] == [0.0]
+    assert all(spans <= 2 for _, spans in looked_up) and looked_up[0][1] == 1 and looked_up[0][0] > 8_000 > 1_100 > looked_up[1][0] > looked_up[-1][0]
